@@ -6,7 +6,6 @@ from __future__ import annotations
 import os
 import tempfile
 from collections.abc import Callable, Iterator
-from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -46,19 +45,39 @@ def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator
     return df.mapInArrow(fn, schema)
 
 
-class WordHash(dict):
-    """64-bit hashes of words (bytes), remembered up to a bound."""
+class WordHashes:
+    """64-bit hashes of the words of texts, whole texts at a time.
 
-    bound = 200_000
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.bound:
-            self.clear()
-        h = self[word] = int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
-        return h
+    A word is a run of bytes marked in ``inside``. Its hash is a polynomial in an
+    odd base over random byte values, modulo 2^64, taken from prefix sums of the
+    whole text, then mixed.
+    """
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+    def __init__(self, inside: np.ndarray) -> None:
+        self.inside = inside
+        self.values = np.random.default_rng(20_011).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
+        self.powers = self.inverse = np.ones(1, np.uint64)
+
+    def of(self, data: bytes) -> np.ndarray:
+        n = len(data)
+        if n >= len(self.powers):
+            for name, base in (("powers", 0x9E3779B97F4A7C15), ("inverse", pow(0x9E3779B97F4A7C15, -1, 2**64))):
+                row = np.full(2 * n + 2, base, np.uint64)
+                row[0] = 1
+                setattr(self, name, np.cumprod(row, dtype=np.uint64))
+        b = np.frombuffer(data, np.uint8)
+        mark = np.zeros(n + 2, np.int8)
+        mark[1:-1] = self.inside[b]
+        edge = np.diff(mark)
+        start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(self.values[b] * self.powers[:n], out=sums[1:])
+        return mix((sums[end] - sums[start]) * self.inverse[start] + (end - start).astype(np.uint64))
+
+
+#: Bytes of words between ASCII white space; and of words of ASCII letters, digits and all beyond ASCII.
+NOT_SPACE = np.array([i != 32 and not 9 <= i <= 13 for i in range(256)], np.int8)
+LETTERS = np.array([i >= 128 or chr(i).isalnum() for i in range(256)], np.int8)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -125,8 +144,14 @@ def components(edges: DataFrame) -> DataFrame:
     )
 
 
-def temporary_dir(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared checkpoint folder."""
-    prepare(spark)
-    base = spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return f"{base}/{name}-{os.urandom(8).hex()}"
+def written(df: DataFrame, name: str) -> tuple[DataFrame, Callable[[], None]]:
+    """``df`` as a Parquet table in the shared checkpoint folder, and what removes the table."""
+    spark = prepare(df.sparkSession)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{os.urandom(8).hex()}"
+    df.write.parquet(path)
+
+    def remove() -> None:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+    return spark.read.parquet(path), remove

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, components, cut, grouped, map_batches, mix, table
+from .common import NOT_SPACE, WordHashes, components, cut, grouped, map_batches, mix, table, written
 
 SLOTS = 1 << 20
 BLOOM_BITS = 1 << 24
@@ -37,23 +37,26 @@ SEEN = 500_000
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x2545F4914F6CDD1D, 0x94D049BB133111EB], np.uint64)
 
 
-def shingle_set(text: str | None, words: int, hashes: WordHash) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the word shingles of ``text``.
+def shingles(text: str | None, words: int, hashes: WordHashes) -> np.ndarray:
+    """64-bit hashes of the word shingles of ``text``, in order.
 
     A-Z are lower-cased; words are runs without ASCII white space. With fewer
     words than a shingle has, the whole sequence is the one shingle.
     """
-    parts = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-    if not parts:
-        return np.empty(0, np.uint64)
-    h = hashes.of(parts)
+    h = hashes.of(text.encode("utf-8", "surrogatepass").lower()) if text else ()
     n = len(h)
+    if not n:
+        return np.empty(0, np.uint64)
     width = min(words, n)
     out = np.full(n - width + 1, width, np.uint64)
     for i in range(width):
-        factor = np.uint64(int(_ODD[i % 8]) * (2 * (i // 8) + 1) % 2**64)
-        out += h[i : n - width + 1 + i] * factor
-    return np.unique(mix(out))
+        out += h[i : n - width + 1 + i] * np.uint64(int(_ODD[i % 8]) * (2 * (i // 8) + 1) % 2**64)
+    return mix(out)
+
+
+def shingle_set(text: str | None, words: int, hashes: WordHashes) -> np.ndarray:
+    """The distinct ones, sorted."""
+    return np.unique(shingles(text, words, hashes))
 
 
 def node_of(s: np.ndarray) -> int:
@@ -94,11 +97,16 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
             yield batch, batch.column(1).to_pylist()
 
 
+def slot_of(column: str):
+    """Bit of the Bloom filter that a value has; a null has one too."""
+    return F.pmod(F.xxhash64(column), F.lit(BLOOM_BITS)).alias("slot")
+
+
 def _sketch(words: int) -> Callable:
     def run(batches):
-        hashes, counts, total = WordHash(), np.zeros(SLOTS, np.int64), 0
+        hashes, counts, total = WordHashes(NOT_SPACE), np.zeros(SLOTS, np.int64), 0
         for _, texts in _texts(batches):
-            sets = [shingle_set(t, words, hashes) for t in texts]
+            sets = [shingles(t, words, hashes) for t in texts]
             if sets and (both := np.concatenate(sets)).size:
                 counts += np.bincount((both >> np.uint64(44)).astype(np.int64), minlength=SLOTS)
                 total += both.size
@@ -109,39 +117,23 @@ def _sketch(words: int) -> Callable:
     return run
 
 
-def _signatures(words: int) -> Callable:
-    def run(batches):
-        hashes, seen = WordHash(), set()
-        for batch, texts in _texts(batches):
-            nodes, sizes, maps = [], [], []
-            for t in texts:
-                s = shingle_set(t, words, hashes)
-                node = node_of(s) if len(s) else None
-                nodes.append(node)
-                sizes.append(len(s))
-                maps.append(None if node is None or node in seen else bitmap(s))
-                if node is not None:
-                    if len(seen) >= SEEN:
-                        seen.clear()
-                    seen.add(node)
-            yield pa.record_batch(
-                [batch.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(maps, pa.binary())],
-                names=["id", "node", "n", "bits"],
-            )
-
-    return run
-
+def _profiles(words: int, num: int, den: int, sketch) -> Callable:
+    """Each text's node and size; for a node not seen in this task, its bitmap and tile keys too."""
 
-def _keys(words: int, num: int, den: int, sketch) -> Callable:
     def run(batches):
         heavy = sketch.value
-        hashes, seen = WordHash(), set()
-        for _, texts in _texts(batches):
-            keys, nodes = [], []
+        hashes, seen = WordHashes(NOT_SPACE), set()
+        for batch, texts in _texts(batches):
+            nodes, sizes, maps, keys = [], [], [], []
             for t in texts:
                 s = shingle_set(t, words, hashes)
                 n = len(s)
-                if not n or (node := node_of(s)) in seen:
+                node = node_of(s) if n else None
+                nodes.append(node)
+                sizes.append(n)
+                if node is None or node in seen:
+                    maps.append(None)
+                    keys.append(None)
                     continue
                 if len(seen) >= SEEN:
                     seen.clear()
@@ -149,35 +141,36 @@ def _keys(words: int, num: int, den: int, sketch) -> Callable:
                 freq = heavy[(s >> np.uint64(44)).astype(np.int64)]
                 p = prefix_size(n, num, den)
                 first = s[np.argsort(freq, kind="stable")[:p]] if freq.any() else s[:p]
-                for band in bands(n, num, den):
-                    keys.append(mix(first + np.uint64((band + 1) * int(_ODD[2]) % 2**64)))
-                    nodes.append((node, p))
-            if keys:
-                yield pa.record_batch(
-                    [pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(np.array([x for x, _ in nodes], np.int64), [p for _, p in nodes]))],
-                    names=["key", "node"],
-                )
+                own = [mix(first + np.uint64((band + 1) * int(_ODD[2]) % 2**64)) for band in bands(n, num, den)]
+                maps.append(bitmap(s))
+                keys.append(np.concatenate(own).view(np.int64))
+            yield pa.record_batch(
+                [batch.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(maps, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                names=["id", "node", "n", "bits", "keys"],
+            )
 
     return run
 
 
 def _arrays(words: int, bloom) -> Callable:
+    """Shingle arrays of texts whose node or, where given, whose id may be among the candidates."""
+
     def run(batches):
-        bits = bloom.value
-        hashes, seen = WordHash(), set()
-        for _, texts in _texts(batches):
+        marks = bloom.value
+        hashes, seen = WordHashes(NOT_SPACE), set()
+        for batch, texts in _texts(batches):
             nodes, arrays = [], []
-            for t in texts:
+            for slot, t in zip(batch.column(0).to_pylist(), texts):
+                if not marks[slot >> 3] >> (slot & 7) & 1:
+                    continue
                 s = shingle_set(t, words, hashes)
                 if not len(s) or (node := node_of(s)) in seen:
                     continue
-                slot = node % BLOOM_BITS
-                if bits[slot >> 3] >> (slot & 7) & 1:
-                    if len(seen) >= SEEN:
-                        seen.clear()
-                    seen.add(node)
-                    nodes.append(node)
-                    arrays.append(s.tobytes())
+                if len(seen) >= SEEN:
+                    seen.clear()
+                seen.add(node)
+                nodes.append(node)
+                arrays.append(s.tobytes())
             if nodes:
                 yield pa.record_batch([pa.array(nodes, pa.int64()), pa.array(arrays, pa.binary())], names=["node", "arr"])
 
@@ -262,43 +255,63 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     spark = docs.sparkSession
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    sig_schema = f"id {src.schema['id'].dataType.simpleString()}, node bigint, n bigint, bits binary"
+    id_kind = src.schema["id"].dataType.simpleString()
 
-    counted = map_batches(src, _sketch(words), "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    counted = map_batches(src, _sketch(words), "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow().to_pandas()
     heavy = np.zeros(SLOTS, np.int64)
     heavy[counted["slot"].to_numpy(np.int64)] = counted["n"].to_numpy(np.int64)
     sketch = spark.sparkContext.broadcast(np.minimum(heavy, 2**31 - 1).astype(np.int32))
 
-    signed = cut(map_batches(src, _signatures(words), sig_schema))
-    member = signed.select("id", "node", "n")
-    sig = signed.where("bits IS NOT NULL").groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
+    profile = map_batches(src, _profiles(words, num, den, sketch), f"id {id_kind}, node bigint, n bigint, bits binary, keys array<bigint>")
+    profile, remove = written(profile, "shingles")
+    member = profile.select("id", "node", "n")
+    sig = profile.where("bits IS NOT NULL").groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
 
-    keys = map_batches(src, _keys(words, num, den, sketch), "key bigint, node bigint")
+    keys = profile.select(F.explode("keys").alias("key"), "node")
     ends = keys.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi")
     held = cut(keys.join(ends, "key").where("node <> lo").distinct())
 
-    first = held.select(F.col("lo").alias("a"), F.col("node").alias("b")).unionAll(
-        held.where("node <> hi").select(F.col("node").alias("a"), F.col("hi").alias("b"))
-    )
-    first = cut(first.distinct())
-
-    # Nodes of any candidate pair, as a Bloom filter of fixed size: only their arrays are built.
-    nodes = first.select(F.explode(F.array("a", "b")).alias("node"))
-    marks = nodes.selectExpr(f"pmod(node, {BLOOM_BITS}L) AS s").selectExpr("shiftright(s, 5) AS w", "shiftleft(1L, cast(pmod(s, 32L) AS int)) AS m")
-    marks = marks.groupBy("w").agg(F.bit_or("m").alias("m")).toPandas()
-    bits = np.zeros(BLOOM_BITS // 32, np.uint32)
-    bits[marks["w"].to_numpy(np.int64)] = marks["m"].to_numpy(np.int64).astype(np.uint32)
-    bloom = spark.sparkContext.broadcast(bits.view(np.uint8))
-    arrays = cut(map_batches(src, _arrays(words, bloom), "node bigint, arr binary").groupBy("node").agg(F.first("arr").alias("arr")))
-
-    def verified(pairs: DataFrame) -> DataFrame:
+    def bounded(pairs: DataFrame) -> DataFrame:
+        """Pairs that sizes and bitmaps do not rule out."""
         a, b = (sig.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"bits{c}")) for c in "ab")
         sized = pairs.join(a, "a").join(b, "b").where(f"{den} * na >= {num} * nb AND {den} * nb >= {num} * na")
-        near = map_batches(sized.select("a", "b", "na", "nb", "bitsa", "bitsb"), _bounded(num, den), "a bigint, b bigint")
+        return map_batches(sized.select("a", "b", "na", "nb", "bitsa", "bitsb"), _bounded(num, den), "a bigint, b bigint")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """Those of some bounded pairs that link. Arrays are built for the texts of their nodes alone, which
+        a Bloom filter of fixed size over document ids picks before any shingling."""
+        near = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        ids = member.join(near, "node", "left_semi").groupBy("node").agg(F.min("id").alias("id"))
+        marks = ids.select(slot_of("id").alias("s")).selectExpr("shiftright(s, 5) AS w", "shiftleft(1L, cast(pmod(s, 32L) AS int)) AS m")
+        marks = marks.groupBy("w").agg(F.bit_or("m").alias("m")).toArrow()
+        bits = np.zeros(BLOOM_BITS // 32, np.uint32)
+        bits[marks.column("w").to_numpy()] = marks.column("m").to_numpy().astype(np.uint32)
+        bloom = spark.sparkContext.broadcast(bits.view(np.uint8))
+        arrays = map_batches(src.select(slot_of("id").alias("slot"), "text"), _arrays(words, bloom), "node bigint, arr binary")
+        arrays = arrays.join(near, "node", "left_semi").groupBy("node").agg(F.first("arr").alias("arr"))
+        arrays, forget = written(arrays, "arrays")
         x, y = (arrays.select(F.col("node").alias(c), F.col("arr").alias(f"arr{c}")) for c in "ab")
-        return map_batches(near.join(x, "a").join(y, "b").select("a", "b", "arra", "arrb"), _exact(num, den), "a bigint, b bigint")
+        links = cut(map_batches(pairs.join(x, "a").join(y, "b").select("a", "b", "arra", "arrb"), _exact(num, den), "a bigint, b bigint"))
+        forget()
+        return links
+
+    def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+        """Pairs whose nodes are in different components."""
+        x, y = (roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")) for c in "ab")
+        both = pairs.join(x, "a", "left").join(y, "b", "left")
+        return both.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
 
-    roots = cut(components(verified(first)))
+    first = held.select(F.col("lo").alias("a"), F.col("node").alias("b")).unionAll(
+        held.where("node <> hi").select(F.col("node").alias("a"), F.col("hi").alias("b"))
+    )
+    first = cut(bounded(first.distinct()))
+    # One partner for each node first: it connects most, so that few pairs are left to intersect.
+    links = verified(first.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+    roots = cut(components(links))
+    rest = cut(apart(first, roots))
+    if not rest.isEmpty():
+        links = links.unionAll(verified(rest))
+        roots = cut(components(links))
 
     # Tiles of three or more nodes that are not yet one component.
     inner = held.where("node <> hi")
@@ -317,16 +330,18 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     tiles = tiles.repartition(F.col("tile")).sortWithinPartitions("tile")
     second = cut(map_batches(tiles, _tiles(num, den), "a bigint, b bigint").distinct())
     if not second.isEmpty():
-        linked = verified(second)
-        roots = cut(components(linked.unionAll(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))))
+        roots = cut(components(links.unionAll(verified(second))))
 
     smallest = member.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("id"))
     at = smallest.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = at.groupBy("root").agg(F.min("id").alias("component_id"))
     named = at.select("node", "root").join(least, "root").select("node", "component_id")
-    return member.join(named, "node", "left").select(
+    out = member.join(named, "node", "left").select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id")
     )
+    out = cut(out)
+    remove()
+    return out
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
