@@ -1,16 +1,54 @@
-"""Corpus pipeline: stages that each take what the one before kept."""
+"""Corpus pipeline: toxicity, language, near duplicates, mixing, packing.
+
+Each stage takes (spark, docs, sf_dir) and works on all that the one before kept.
+All but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+
+from tarnlight.llm.common import table
+from tarnlight.llm.langid import keep_known_languages
+from tarnlight.llm.mixing import mixed_rows
 from tarnlight.llm.ngram_join import drop_near_duplicates
+from tarnlight.llm.packing import pack_buckets
+from tarnlight.llm.toxicity import drop_toxic
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score under 0.7 stay."""
+    return drop_toxic(docs, table(spark, sf_dir, "labels"))
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with letters whose language is recognised stay."""
+    return keep_known_languages(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group linked at a Jaccard of 0.8 over five-word shingles stays."""
+    return drop_near_duplicates(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources in their target shares: rows come as often as the mix takes them, or not at all."""
+    return mixed_rows(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Bucket, batch and place of each row."""
+    return pack_buckets(docs)
+
 
-STAGES = [("ngram_jaccard", lambda spark, docs, sf_dir: drop_near_duplicates(docs))]
+STAGES = [("toxicity", toxicity), ("language_id", language), ("ngram_jaccard", near_duplicates), ("mixing", mix), ("packing", packing)]
 
+#: The models, the components and the bucket bounds have no SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
     return docs
