@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, grouped, map_batches, prepare, table
+from .common import Shared, cut, grouped, map_batches, prepare, table
 from .vectors import cosines, matrix, unit, usable
 
 TREES = 4
@@ -95,11 +95,12 @@ def plant(sample: np.ndarray, n: int, trees: int, leaf_rows: int, seed: int) ->
 
 def _placed(forest) -> Callable:
     def run(batches):
+        trees_of = forest.value
         for batch in batches:
             x = matrix(batch.column(1))
             if len(x):
-                places = forest.value.leaves(unit(x))
-                trees = np.arange(places.shape[1]) * (1 << forest.value.depth)
+                places = trees_of.leaves(unit(x))
+                trees = np.arange(places.shape[1]) * (1 << trees_of.depth)
                 yield pa.record_batch([*batch.columns, pa.array(list((places + trees).astype(np.int64)), pa.list_(pa.int64()))], names=[*batch.schema.names, "leaves"])
 
     return run
@@ -107,10 +108,11 @@ def _placed(forest) -> Callable:
 
 def _visits(forest, visit: float) -> Callable:
     def run(batches):
+        trees_of = forest.value
         for batch in batches:
             x = matrix(batch.column(1))
             if len(x):
-                own = [[t * (1 << forest.value.depth) + leaf for t, leaf in forest.value.search(v, visit)] for v in unit(x)]
+                own = [[t * (1 << trees_of.depth) + leaf for t, leaf in trees_of.search(v, visit)] for v in unit(x)]
                 yield pa.record_batch([*batch.columns, pa.array(own, pa.list_(pa.int64()))], names=[*batch.schema.names, "leaves"])
 
     return run
@@ -166,7 +168,7 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id
     if not fitted.num_rows:
         fitted = entries.select("rep", "vec").limit(1).toArrow()
     forest = plant(unit(matrix(fitted.column("vec"))), n, trees, leaf_rows, seed)
-    sent = spark.sparkContext.broadcast(forest)
+    sent = Shared(spark, forest)
 
     kind = entries.schema["vec"].dataType.simpleString()
     schema = f"rep bigint, vec {kind}, leaves array<bigint>"

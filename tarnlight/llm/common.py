@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,6 +46,17 @@ def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator
     return df.mapInArrow(fn, schema)
 
 
+class Shared:
+    """A broadcast object of a class of this package, which executors need no copy of."""
+
+    def __init__(self, spark: SparkSession, value) -> None:
+        self.sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+    @property
+    def value(self):
+        return cloudpickle.loads(self.sent.value)
+
+
 class WordHashes:
     """64-bit hashes of the words of texts, whole texts at a time.
 

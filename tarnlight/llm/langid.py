@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, prepare, table
+from .common import Shared, map_batches, prepare, table
 
 FEATURES = 1 << 16
 ORDERS = (1, 2, 3)
@@ -218,7 +218,7 @@ def _predict(model) -> Callable:
 
 def predict_language(docs: DataFrame, model: LanguageModel, keep: list[str], text_col: str = "text") -> DataFrame:
     """``keep`` columns of each row, lang_pred and score (0 to 1). Null texts and texts without a letter: ``und``, 0."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = Shared(docs.sparkSession, model)
     rows = docs.select(*keep, F.col(text_col).alias("_text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keep).schema)
     return map_batches(rows, _predict(sent), f"{schema}, lang_pred string, score double")
