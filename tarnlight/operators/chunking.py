@@ -66,7 +66,7 @@ def units(docs: DataFrame, key: str, text: Column) -> DataFrame:
     at = lambda n: F.max(F.when(F.col("level") == n, F.col("pos"))).over(w)
     rows = rows.withColumns({f"_p{n}": at(n) for n in (1, 2, 3, 4)})
     rows = rows.withColumns({f"_t{n}": F.last(F.when(F.col("level") == n, F.col("title")), ignorenulls=True).over(w) for n in (1, 2, 3, 4)})
-    live = lambda n: F.when(F.greatest(F.lit(-1), *[F.coalesce(f"_p{m}", F.lit(-1)) for m in range(1, n)]) < F.col(f"_p{n}"), F.col(f"_t{n}"))
+    live = lambda n: F.when(F.greatest(F.lit(-1), F.lit(-1), *[F.coalesce(f"_p{m}", F.lit(-1)) for m in range(1, n)]) < F.col(f"_p{n}"), F.col(f"_t{n}"))
     path = F.concat_ws(" > ", live(1), live(2), live(3), live(4))
     section = F.sum(F.col("level").isin(2, 3).cast("int")).over(w)
     rows = rows.withColumn("heading_path", F.when(path == "", OVERVIEW).otherwise(path))
