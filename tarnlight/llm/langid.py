@@ -206,12 +206,12 @@ def fit_profiles(rows: pd.DataFrame, labels: list[str], idf: np.ndarray, epochs:
     return LanguageModel([str(x) for x in labels], (idf[:, None] * w[:-1]).astype(np.float32), w[-1], heat)
 
 
-def _predict(model) -> Callable:
+def _predict(model, kept: int, at: int) -> Callable:
     def run(batches):
         own = model.value
         for batch in batches:
-            said = [own.predict(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
-            yield pa.record_batch([*batch.columns[:-1], pa.array([x for x, _ in said], pa.string()), pa.array([p for _, p in said], pa.float64())], names=[*batch.schema.names[:-1], "lang_pred", "score"])
+            said = [own.predict(t) for t in batch.column(at).to_pylist()]
+            yield pa.record_batch([*batch.columns[:kept], pa.array([x for x, _ in said], pa.string()), pa.array([p for _, p in said], pa.float64())], names=[*batch.schema.names[:kept], "lang_pred", "score"])
 
     return run
 
@@ -219,9 +219,10 @@ def _predict(model) -> Callable:
 def predict_language(docs: DataFrame, model: LanguageModel, keep: list[str], text_col: str = "text") -> DataFrame:
     """``keep`` columns of each row, lang_pred and score (0 to 1). Null texts and texts without a letter: ``und``, 0."""
     sent = Shared(docs.sparkSession, model)
-    rows = docs.select(*keep, F.col(text_col).alias("_text"))
+    rows = docs.select(*keep, *([] if text_col in keep else [F.col(text_col).alias("_text")]))
+    at = keep.index(text_col) if text_col in keep else len(keep)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keep).schema)
-    return map_batches(rows, _predict(sent), f"{schema}, lang_pred string, score double")
+    return map_batches(rows, _predict(sent, len(keep), at), f"{schema}, lang_pred string, score double")
 
 
 def crc_mod(id_col: str, n: int):
