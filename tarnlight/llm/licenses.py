@@ -32,9 +32,9 @@ TEMPLATES = (
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software"),
     ("apache-2", "licensed under the apache license version 2 0"),
     ("gpl-3", "licensed under the gnu general public license version 3"),
-    ("lgpl", "licensed under the gnu lesser general public license"),
+    ("lgpl", "under the terms of the gnu lesser general public license version 2 1"),
     ("cc-by-nc", "licensed under cc by nc 4 0"),
-    ("cc-by-sa", "licensed under cc by sa 4 0"),
+    ("cc-by-sa", "creative commons attribution sharealike 4 0 international license"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted"),
     ("mpl-2", "subject to the terms of the mozilla public license v 2 0"),
 )

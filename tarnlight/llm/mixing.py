@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, small, table
 
 CELLS = 4096
 #: Rows of a per-source table up to which it is broadcast; beyond, the join shuffles and AQE splits skewed keys.
@@ -75,7 +75,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", size: Column | None = N
             uniform(F.col(id_col), seed).alias("u"),
         )
     )
-    totals = base.groupBy("source").agg(F.sum("size").alias("source_size"), (F.sum(F.col("weight") * F.col("size")) / F.sum("size")).alias("mean_weight"))
+    totals = base.groupBy("source").agg(F.sum("size").alias("source_size"), F.try_divide(F.sum(F.col("weight") * F.col("size")), F.sum("size")).alias("mean_weight"))
     totals = cut(totals)
     few = totals.count() <= BROADCAST_ROWS
 
@@ -84,7 +84,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", size: Column | None = N
         return rows.join(F.broadcast(small) if few else small, rows.source.eqNullSafe(small.its)).drop("its")
 
     plan = cut(with_source(waterfill(totals.select("source", "source_size"), share, cap, cycle), totals.select("source", "mean_weight")))
-    copies = F.least(F.lit(float(cap)), F.coalesce(F.col("target") / F.col("source_size") * F.col("weight") / F.col("mean_weight"), F.lit(0.0)))
+    copies = F.least(F.lit(float(cap)), F.coalesce(F.try_divide(F.try_divide(F.col("target"), F.col("source_size")) * F.col("weight"), F.col("mean_weight")), F.lit(0.0)))
     rows = with_source(base, plan).withColumn("e", copies)
     rows = rows.withColumn("whole", F.floor("e")).withColumn("p", F.col("e") - F.col("whole"))
     # The rank and its place in (0, 1): q / (1 + q).
@@ -110,10 +110,11 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", size: Column | None = N
 
 
 def mixed_rows(docs: DataFrame, id_col: str = "doc_id", **kw) -> DataFrame:
-    """The documents themselves, each as often as the mix takes it."""
-    plan = mix_sources(docs, id_col, **kw).where("copies > 0").select(id_col, "copies")
-    plan = plan.groupBy(id_col).agg(F.max("copies").alias("_copies"))
-    return docs.join(plan, id_col).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+    """The documents themselves, each as often as the mix takes it; rows of one id as often as the one taken most."""
+    plan = mix_sources(docs, id_col, **kw).where("copies > 0").select(F.col(id_col).alias("_id"), "copies")
+    plan = cut(plan.groupBy("_id").agg(F.max("copies").cast("int").alias("_copies")))
+    taken = docs.join(small(plan), docs[id_col].eqNullSafe(plan["_id"]))
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
 
 
 def op4_pareto_mix(spark, sf_dir: str) -> DataFrame:
