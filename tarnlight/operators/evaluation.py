@@ -97,7 +97,7 @@ def promotion(candidate: DataFrame, best: DataFrame, on: list[str] | None = None
         bad.append(F.when(F.round(old("no_result_accuracy") - F.col("no_result_accuracy"), 9) > max_no_result_drop, "no_result_accuracy_regressed"))
     if has("p95_latency_ms"):
         was = old("p95_latency_ms")
-        bad.append(F.when((was > 0) & (was >= latency_floor) & ((F.col("p95_latency_ms") - was) / was > max_latency_rise), "p95_latency_increased"))
+        bad.append(F.when((was > 0) & (was >= latency_floor) & (F.try_divide(F.col("p95_latency_ms") - was, was) > max_latency_rise), "p95_latency_increased"))
     for c in ("duplicates", "wrong_top1"):
         if has(c):
             bad.append(F.when(F.col(c) > old(c), f"{c}_increased"))
