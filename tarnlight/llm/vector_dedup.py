@@ -27,9 +27,23 @@ from .vectors import cosines, matrix, unit, usable
 #: Bound of the pivot sample.
 PIVOTS = 256
 LISTED, KEYED, SHARED = 8, 4, 3
+#: Cosine above which two sampled points do not both become pivots.
+APART = 0.8
 BLOCK = 2048
 
 
+def spread_out(points: np.ndarray, most: int) -> np.ndarray:
+    """The first ``most`` points that are no near copies of one taken before. Copies among the pivots would be told
+    apart by noise alone, and so would the vectors around them."""
+    kept = np.zeros((0, points.shape[1]))
+    for p in points:
+        if len(kept) >= most:
+            break
+        if not (kept @ p > APART).any():
+            kept = np.vstack([kept, p])
+    return kept
+
+
 def _described(pivots) -> Callable:
     def run(batches):
         for batch in batches:
@@ -135,7 +149,7 @@ def near_duplicates(rows: DataFrame, least: float = 0.98, id_col: str = "vec_id"
     counted = None
     if sample is not None and sample.num_rows:
         points = unit(matrix(sample.column("vec")))
-        points = points[np.random.default_rng(seed).permutation(len(points))[:pivots]]
+        points = spread_out(points[np.random.default_rng(seed).permutation(len(points))], pivots)
         sent = spark.sparkContext.broadcast(points)
         kind = entries.schema["vec"].dataType.simpleString()
         told = map_batches(entries.select("node", "group", "vec", "copies"), _described(sent), f"node bigint, group bigint, vec {kind}, copies bigint, near array<int>, keys array<int>")
