@@ -128,16 +128,43 @@ def grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
+#: Edges (16 bytes each) up to which one task finds the components of a graph.
+TASK_EDGES = 1_000_000
+
+
+def _components_of(batches):
+    """Components of the edges a task is given, by hooking to smaller roots and pointer jumping."""
+    held = [np.stack([b.column(i).to_numpy() for i in (0, 1)]) for b in batches if b.num_rows]
+    if not held:
+        return
+    ends = np.concatenate(held, axis=1)
+    nodes, at = np.unique(ends, return_inverse=True)
+    a, b = at.reshape(ends.shape)
+    root = np.arange(len(nodes))
+    while True:
+        ra, rb = root[a], root[b]
+        if (ra == rb).all():
+            break
+        np.minimum.at(root, np.maximum(ra, rb), np.minimum(ra, rb))
+        while (root[root] != root).any():
+            root = root[root]
+    for i in range(0, len(nodes), 1 << 16):
+        yield pa.record_batch([pa.array(nodes[i : i + (1 << 16)]), pa.array(nodes[root[i : i + (1 << 16)]])], names=["node", "root"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of ``edges`` (a, b); root is the smallest node reachable.
 
-    Alternating large-star and small-star steps. Each step is an aggregation with
-    a map-side combine and an equi-join on the node, so a hub's neighbours are
-    never gathered into one row, and only two scalars an iteration reach the driver.
+    Up to TASK_EDGES distinct edges, one task does it. Beyond, alternating
+    large-star and small-star steps: each is an aggregation with a map-side
+    combine and an equi-join on the node, so a hub's neighbours are never
+    gathered into one row, and only two scalars an iteration reach the driver.
     """
     pairs = cut(
         edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     )
+    if pairs.count() <= TASK_EDGES:
+        return map_batches(pairs.coalesce(1), _components_of, "node bigint, root bigint")
 
     def state(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())

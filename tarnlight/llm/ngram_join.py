@@ -2,7 +2,7 @@
 
 Documents become sets of hashed word shingles. Sets of equal content are one
 node. A pair of nodes that reaches the threshold has sizes in one or in two
-neighbouring power-of-two bands, and shares one of the rarest shingles of each
+neighbouring bands, and shares one of the rarest shingles of each
 set (its prefix), so every tile (size band, prefix shingle) that both enter holds
 the pair: no link is lost. Inside the tiles a parity bitmap of hashed shingles
 bounds the overlap from above (the bits that differ are no more than the shingles
@@ -11,8 +11,9 @@ that differ); what passes is decided by intersecting the sorted shingle arrays.
 A tile's nodes are first compared with the tile's smallest and largest node, and
 joined into components. Only tiles that still hold several components go on to
 an all-pairs comparison, in blocks of at most ``BLOCK`` rows a side, between
-different components. This keeps a group of thousands of near copies linear and
-is still exact: two nodes of a tile are either compared or already connected.
+different components, after each node met its closest partner in a few of its
+tiles. This keeps a group of thousands of near copies linear and is still exact:
+two nodes of a tile are either compared or already connected.
 
 The order of rarity comes from a count sketch of shingles over all documents
 (``SLOTS`` counters, so its broadcast has a fixed size). Any order gives the same
@@ -25,15 +26,17 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NOT_SPACE, WordHashes, components, cut, grouped, map_batches, mix, table, written
+from .common import BROADCAST_ROWS, NOT_SPACE, WordHashes, components, cut, grouped, map_batches, mix, small, table, written
 
 SLOTS = 1 << 20
 BLOOM_BITS = 1 << 24
 BLOCK = 1024
 SEEN = 500_000
+#: Rounds, and tiles of a node in each, of the closest-partner step.
+TURNS, KEYS_A_TURN = 2, 3
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x2545F4914F6CDD1D, 0x94D049BB133111EB], np.uint64)
 
 
@@ -82,9 +85,16 @@ def fold(b: np.ndarray, size: int) -> np.ndarray:
 
 
 def bands(n: int, num: int, den: int) -> list[int]:
-    """Size bands a set of n shingles enters: its own, and the next if a partner can be there."""
-    own = n.bit_length() - 1
-    return [own, own + 1] if den * n >= num << (own + 1) else [own]
+    """Size bands a set of n shingles enters: its own, and the next if a partner can be there.
+
+    Bounds grow by (den / num)^2, rounded up, so partners are in one band or in
+    two neighbouring ones, and half the sets enter one band only.
+    """
+    own, top = 0, 1
+    while n > top:
+        top = max(top + 1, -(-top * den * den // (num * num)))
+        own += 1
+    return [own, own + 1] if den * n >= num * (top + 1) else [own]
 
 
 def prefix_size(n: int, num: int, den: int) -> int:
@@ -156,12 +166,12 @@ def _arrays(words: int, bloom) -> Callable:
     """Shingle arrays of texts whose node or, where given, whose id may be among the candidates."""
 
     def run(batches):
-        marks = bloom.value
+        marks = bloom.value if bloom else None
         hashes, seen = WordHashes(NOT_SPACE), set()
         for batch, texts in _texts(batches):
             nodes, arrays = [], []
             for slot, t in zip(batch.column(0).to_pylist(), texts):
-                if not marks[slot >> 3] >> (slot & 7) & 1:
+                if marks is not None and not marks[slot >> 3] >> (slot & 7) & 1:
                     continue
                 s = shingle_set(t, words, hashes)
                 if not len(s) or (node := node_of(s)) in seen:
@@ -208,8 +218,9 @@ def _exact(num: int, den: int) -> Callable:
     return run
 
 
-def _tiles(num: int, den: int) -> Callable:
-    """All pairs of different components inside each (key, block, chunk) tile that the bounds leave."""
+def _tiles(num: int, den: int, closest: bool) -> Callable:
+    """Pairs of different components inside each (key, block, chunk) tile that the bounds leave: all of them, or
+    the one of fewest differing bits for each node."""
 
     def run(batches):
         for tile in grouped(batches, "tile"):
@@ -219,6 +230,7 @@ def _tiles(num: int, den: int) -> Callable:
                 parts.setdefault((r["key"], r["block"], r["chunk"]), ([], []))[r["probe"]].append(r)
             a, b = [], []
             for base, probes in parts.values():
+                probes = base if closest else probes
                 if not base or not probes:
                     continue
                 size = min(len(r["bits"]) for r in (*base, *probes))
@@ -226,15 +238,16 @@ def _tiles(num: int, den: int) -> Callable:
                     np.stack([fold(np.frombuffer(r["bits"], np.uint8), size) for r in base]),
                     *(np.array([r[c] for r in base], np.int64) for c in ("n", "node", "root")),
                 )
-                if size % 8 == 0:
-                    bits = bits.view(np.uint64)
+                bits = bits.view(np.uint64)
                 for r in probes:
                     near = np.flatnonzero((root != r["root"]) & (den * n >= num * r["n"]) & (den * r["n"] >= num * n))
                     if near.size:
-                        own = fold(np.frombuffer(r["bits"], np.uint8), size)
-                        own = own.view(np.uint64) if size % 8 == 0 else own
+                        own = fold(np.frombuffer(r["bits"], np.uint8), size).view(np.uint64)
                         apart = np.bitwise_count(bits[near] ^ own).sum(1, dtype=np.int64)
-                        near = near[apart * (den + num) <= (n[near] + r["n"]) * (den - num)]
+                        ok = apart * (den + num) <= (n[near] + r["n"]) * (den - num)
+                        near = near[ok]
+                        if closest and near.size:
+                            near = near[[np.argmin(apart[ok])]]
                         a += np.minimum(node[near], r["node"]).tolist()
                         b += np.maximum(node[near], r["node"]).tolist()
             if a:
@@ -278,16 +291,19 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         return map_batches(sized.select("a", "b", "na", "nb", "bitsa", "bitsb"), _bounded(num, den), "a bigint, b bigint")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """Those of some bounded pairs that link. Arrays are built for the texts of their nodes alone, which
-        a Bloom filter of fixed size over document ids picks before any shingling."""
+        """Those of some bounded pairs that link. Arrays are built for the texts of their nodes alone: a broadcast
+        of their ids picks them, or, beyond its bound, a Bloom filter of fixed size before any shingling."""
         near = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        ids = member.join(near, "node", "left_semi").groupBy("node").agg(F.min("id").alias("id"))
-        marks = ids.select(slot_of("id").alias("s")).selectExpr("shiftright(s, 5) AS w", "shiftleft(1L, cast(pmod(s, 32L) AS int)) AS m")
-        marks = marks.groupBy("w").agg(F.bit_or("m").alias("m")).toArrow()
-        bits = np.zeros(BLOOM_BITS // 32, np.uint32)
-        bits[marks.column("w").to_numpy()] = marks.column("m").to_numpy().astype(np.uint32)
-        bloom = spark.sparkContext.broadcast(bits.view(np.uint8))
-        arrays = map_batches(src.select(slot_of("id").alias("slot"), "text"), _arrays(words, bloom), "node bigint, arr binary")
+        ids = cut(member.join(near, "node", "left_semi").groupBy("node").agg(F.min("id").alias("id")).select("id").distinct())
+        if ids.count() <= BROADCAST_ROWS:
+            wanted, marks = src.join(F.broadcast(ids), src.id.eqNullSafe(ids.id), "left_semi"), None
+        else:
+            bits = ids.select(slot_of("id").alias("s")).selectExpr("shiftright(s, 5) AS w", "shiftleft(1L, cast(pmod(s, 32L) AS int)) AS m")
+            bits = bits.groupBy("w").agg(F.bit_or("m").alias("m")).toArrow()
+            bloom = np.zeros(BLOOM_BITS // 32, np.uint32)
+            bloom[bits.column("w").to_numpy()] = bits.column("m").to_numpy().astype(np.uint32)
+            wanted, marks = src, spark.sparkContext.broadcast(bloom.view(np.uint8))
+        arrays = map_batches(wanted.select(slot_of("id").alias("slot"), "text"), _arrays(words, marks), "node bigint, arr binary")
         arrays = arrays.join(near, "node", "left_semi").groupBy("node").agg(F.first("arr").alias("arr"))
         arrays, forget = written(arrays, "arrays")
         x, y = (arrays.select(F.col("node").alias(c), F.col("arr").alias(f"arr{c}")) for c in "ab")
@@ -315,20 +331,38 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     # Tiles of three or more nodes that are not yet one component.
     inner = held.where("node <> hi")
-    more = inner.select("key", "node").unionAll(inner.select("key", F.col("lo").alias("node")).distinct()).unionAll(inner.select("key", F.col("hi").alias("node")).distinct())
-    rooted = more.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    shares = rooted.groupBy("key", "root").agg(F.count("*").alias("c"))
-    open_keys = shares.groupBy("key").agg(F.sum("c").alias("m"), F.max_by("root", F.struct("c", "root")).alias("big"), F.max("c").alias("c"), F.count("*").alias("k")).where("k > 1")
-    open_keys = open_keys.select("key", "big", F.ceil(F.col("m") / BLOCK).cast("int").alias("nb"), F.ceil((F.col("m") - F.col("c")) / BLOCK).cast("int").alias("nc"))
-    todo = rooted.join(open_keys, "key").join(sig, "node")
+    more = cut(inner.select("key", "node").unionAll(inner.select("key", F.explode(F.array("lo", "hi")).alias("node")).distinct()))
+    cols = ["key", "node", "root", "n", "bits"]
     spot = lambda k: F.pmod(F.xxhash64("node"), F.col(k)).cast("int")
     every = lambda k: F.sequence(F.lit(0), F.col(k) - 1)
-    cols = ["key", "node", "root", "n", "bits"]
+
+    def still_open(roots: DataFrame) -> DataFrame:
+        """Members of tiles that hold several components, with the tile's largest one and its block counts."""
+        rooted = more.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        shares = rooted.groupBy("key", "root").agg(F.count("*").alias("c"))
+        keys = shares.groupBy("key").agg(F.sum("c").alias("m"), F.max_by("root", F.struct("c", "root")).alias("big"), F.max("c").alias("c"), F.count("*").alias("k")).where("k > 1")
+        keys = keys.select("key", "big", F.ceil(F.col("m") / BLOCK).cast("int").alias("nb"), F.ceil((F.col("m") - F.col("c")) / BLOCK).cast("int").alias("nc"))
+        return rooted.join(keys, "key")
+
+    def met(tiles: DataFrame, closest: bool) -> DataFrame:
+        tiles = tiles.withColumn("tile", F.xxhash64("key", "block", "chunk")).repartition(F.col("tile")).sortWithinPartitions("tile")
+        return cut(map_batches(tiles, _tiles(num, den, closest), "a bigint, b bigint").distinct())
+
+    # Each node's closest partner in a few of its tiles: linear, and it connects most of a group of near copies.
+    for turn in range(TURNS):
+        few = F.row_number().over(Window.partitionBy("node").orderBy(F.xxhash64("key", F.lit(turn)))) <= KEYS_A_TURN
+        some = still_open(roots).withColumn("few", few).where("few").join(sig, "node")
+        found = met(some.select(*cols, spot("nb").alias("block"), F.lit(0).alias("chunk"), F.lit(0).alias("probe")), True)
+        if found.isEmpty():
+            break
+        links = links.unionAll(verified(found))
+        roots = cut(components(links))
+
+    # What is still apart is compared in full.
+    todo = still_open(roots).join(sig, "node")
     base = todo.select(*cols, spot("nb").alias("block"), F.explode(every("nc")).alias("chunk"), F.lit(0).alias("probe"))
     probe = todo.where("root <> big").select(*cols, F.explode(every("nb")).alias("block"), spot("nc").alias("chunk"), F.lit(1).alias("probe"))
-    tiles = base.unionAll(probe).withColumn("tile", F.xxhash64("key", "block", "chunk"))
-    tiles = tiles.repartition(F.col("tile")).sortWithinPartitions("tile")
-    second = cut(map_batches(tiles, _tiles(num, den), "a bigint, b bigint").distinct())
+    second = met(base.unionAll(probe), False)
     if not second.isEmpty():
         roots = cut(components(links.unionAll(verified(second))))
 
@@ -349,8 +383,14 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     Rows repeated with one id count as one document. Rows whose id is null take no part and stay.
     """
-    keep = jaccard_components(docs, id_col, text_col, words, num, den).where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    return docs.where(F.col(id_col).isNotNull()).join(keep, id_col, "left_semi").dropDuplicates([id_col]).unionAll(docs.where(F.col(id_col).isNull()))
+    own = jaccard_components(docs, id_col, text_col, words, num, den)
+    kept = own.where(F.col(id_col) == F.col("component_id")).groupBy(id_col).agg(F.count("*").alias("n"))
+    kept = cut(kept)
+    alone, several = kept.where("n = 1").select(id_col), kept.where("n > 1").select(id_col)
+    out = docs.join(small(alone), id_col, "left_semi").unionAll(docs.where(F.col(id_col).isNull()))
+    if not several.isEmpty():
+        out = out.unionAll(docs.join(small(several), id_col, "left_semi").dropDuplicates([id_col]))
+    return out.select(*docs.columns)
 
 
 def op5_ngram_jaccard(spark, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tarnlight.llm import ann, chat, langid, licenses, mixing, ngram_join, packing, sharding, toxicity, vector_dedup
+from tarnlight.llm import ann, chat, common, langid, licenses, mixing, ngram_join, packing, sharding, toxicity, vector_dedup
 from tarnlight.llm.common import NOT_SPACE, WordHashes, components
 
 DOCS = "doc_id bigint, text string, lang string, source string, id string, score double"
@@ -99,6 +99,13 @@ def test_word_hashes(parts):
     assert len(set(seen.values())) == len(seen)
 
 
+@pytest.mark.parametrize(("num", "den"), [(90, 100), (80, 100), (60, 100), (99, 100)])
+def test_partners_share_a_band(num, den):
+    for n in range(1, 400):
+        for m in range(n, n * den // num + 1):
+            assert set(ngram_join.bands(n, num, den)) & set(ngram_join.bands(m, num, den)), (n, m)
+
+
 def test_bitmaps_bound_the_overlap():
     rng = np.random.default_rng(1)
     for _ in range(200):
@@ -110,7 +117,9 @@ def test_bitmaps_bound_the_overlap():
         assert apart <= len(np.setxor1d(a, b))
 
 
-def test_components(spark):
+@pytest.mark.parametrize("bound", [0, 1_000_000])
+def test_components(spark, monkeypatch, bound):
+    monkeypatch.setattr(common, "TASK_EDGES", bound)
     chain = [(i + 1, i) for i in range(40)] + [(100, 101), (7, 7)]
     got = {r.node: r.root for r in components(spark.createDataFrame(chain, "a bigint, b bigint")).collect()}
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
