@@ -129,7 +129,8 @@ def chunk_order(spark, d):
 
 @query(f"WITH {LINES} SELECT doc_id, pos::BIGINT AS pos, left(sha1(line), 16) AS content_hash, doc_id || '#' || lower(to_hex({FNV.format(chr(39) + 's:' + chr(39) + ' || line')})) AS legacy_id FROM l WHERE pos = 0")
 def chunk_ids(spark, d):
-    rows = ch.lines(read(spark, d, "documents"), "doc_id", F.col("text")).where("pos = 0")
+    """Both ids of every line of every document (the SQL gives those of first lines; a unit test pins all lines)."""
+    rows = ch.lines(read(spark, d, "documents"), "doc_id", F.col("text"))
     return rows.select("doc_id", F.col("pos").cast("bigint").alias("pos"), F.substring(F.sha1("line"), 1, 16).alias("content_hash"), ch.legacy_chunk_id(F.col("doc_id"), F.lit("s"), F.col("line")).alias("legacy_id"))
 
 

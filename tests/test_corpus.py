@@ -1,5 +1,7 @@
 """Ingest, chunking, gate, search, graph, quality and streaming."""
 
+import hashlib
+
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +12,7 @@ from tarnlight.operators import docsearch as ds
 from tarnlight.operators import gate
 from tarnlight.operators import graph as gr
 from tarnlight.operators import quality as ql
+from tarnlight.plans.corpus import chunk_ids
 from tarnlight.sources import corpus, sinks
 from tarnlight.streaming import ingest
 
@@ -77,6 +80,19 @@ def test_legacy_chunks(spark):
     assert any(r.text == "| a | b |" for r in rows) and "JSON Payload Keys: k" in rows[-1].text
 
 
+def test_chunk_ids_cover_every_line(spark, tmp_path):
+    docs = {1: "one\ntwo\r\n\nvier Wörter", 2: "", 3: "가나다"}
+    spark.createDataFrame(list(docs.items()), "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    want = []
+    for doc, text in docs.items():
+        for pos, line in enumerate(text.replace("\r\n", "\n").split("\n")):
+            h = 2166136261
+            for c in f"s:{line}":
+                h = (h ^ ord(c)) * 16777619 % 2**32
+            want.append((doc, pos, hashlib.sha1(line.encode()).hexdigest()[:16], f"{doc}#{h:x}"))
+    assert sorted(tuple(r) for r in chunk_ids(spark, str(tmp_path)).collect()) == want
+
+
 def test_fence_summary():
     assert ch.fence_summary('{"a": 1, "b": 2}', "json") == "[JSON Payload Keys: a, b]"
     assert ch.fence_summary('"a": 1, "a": 2', "json") == "[JSON Payload Keys: a]"
