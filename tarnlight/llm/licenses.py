@@ -8,6 +8,12 @@ first, ties by code point; of a template only its prefix, the first
 those, so a join on prefix tokens loses nothing. A length filter (the block has
 enough of the templates' words) and a positional filter (enough tokens stand
 behind the shared one in both) come before the exact intersection.
+
+Texts are wrapped at any word and sentences hold full stops ("v. 2.0"), so the
+same join also runs on windows of words that cross line ends and full stops but
+no blank line. A window has REACH times the template's words; every window that
+holds a prefix token is looked at, and as many words as the threshold needs must
+stand in the template's order.
 """
 
 from __future__ import annotations
@@ -40,6 +46,8 @@ TEMPLATES = (
 )
 THRESHOLD = 0.8
 BLOCKS = r"\n|(?<=[.!?])[\x20\x09-\x0D]+"
+PARAGRAPHS = r"\n[\x20\x09-\x0D]*\n"
+REACH = 3
 
 
 def ascii_lower(text: Column) -> Column:
@@ -90,30 +98,40 @@ def token_counts(docs: DataFrame, text_col: str, vocabulary: Sequence[str]) -> d
     return {r["t"]: r["count"] for r in rows}
 
 
-def containment_join(docs: DataFrame, key_cols: Sequence[str], text_col: str = "text", templates: Sequence[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """(keys, block, template, label, overlap, containment) of every block that meets a template.
-
-    Blocks are numbered from 0. Null and blank texts have no block that meets
-    one. The template list is given by the caller on the driver, so its tables
-    are as small as that list.
-    """
-    spark = prepare(docs.sparkSession)
+def _looked_up(templates: Sequence[tuple[str, str]], threshold: float, counts: dict[str, int]) -> tuple[list[tuple], dict[str, int], list[str]]:
+    """Postings (r, pos, template, label, ranks, need) of the prefix tokens, rank of each token, and the prefix tokens."""
     sets = [(label, sorted(set(text.split()))) for label, text in templates]
-    vocabulary = sorted({w for _, s in sets for w in s})
-    counts = token_counts(docs, text_col, vocabulary)
+    vocabulary = _vocabulary(templates)
     rank = {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (counts.get(w, 0), w)))}
     postings = []
     for t, (label, s) in enumerate(sets):
         ranks = sorted(rank[w] for w in s)
         need = math.ceil(threshold * len(ranks) - 1e-9)
         postings += [(r, pos, t, label, ranks, need) for pos, r in enumerate(ranks[: len(ranks) - need + 1])]
+    by_rank = sorted(rank, key=rank.get)
+    return postings, rank, sorted({by_rank[p[0]] for p in postings})
+
+
+def _vocabulary(templates: Sequence[tuple[str, str]]) -> list[str]:
+    return sorted({w for _, text in templates for w in text.split()})
+
+
+def containment_join(docs: DataFrame, key_cols: Sequence[str], text_col: str = "text", templates: Sequence[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD, counts: dict[str, int] | None = None) -> DataFrame:
+    """(keys, block, template, label, overlap, containment) of every block that meets a template.
+
+    Blocks are numbered from 0. Null and blank texts have no block that meets
+    one. The template list is given by the caller on the driver, so its tables
+    are as small as that list. counts: of :func:`token_counts`, if known.
+    """
+    spark = prepare(docs.sparkSession)
+    counts = token_counts(docs, text_col, _vocabulary(templates)) if counts is None else counts
+    postings, rank, heads = _looked_up(templates, threshold, counts)
     found = spark.createDataFrame(postings, "r int, pos int, template int, label string, ranks array<int>, need int")
     by_rank = sorted(rank, key=rank.get)
-    heads = {by_rank[p[0]] for p in postings}
     order = F.create_map(*[F.lit(x) for w in by_rank for x in (w, rank[w])])
 
-    near = docs.where(F.col(text_col).rlike(_any_case(sorted(heads)))).select(*key_cols, F.posexplode(F.split(F.col(text_col), BLOCKS)).alias("block", "_text"))
-    near = near.where(F.col("_text").rlike(_any_case(sorted(heads))))
+    near = docs.where(F.col(text_col).rlike(_any_case(heads))).select(*key_cols, F.posexplode(F.split(F.col(text_col), BLOCKS)).alias("block", "_text"))
+    near = near.where(F.col("_text").rlike(_any_case(heads)))
     known = F.array_intersect(F.split(spaced(F.col("_text")), " "), F.array(*[F.lit(w) for w in by_rank]))
     blocks = near.select(*key_cols, "block", F.array_sort(F.transform(known, lambda w: order[w])).alias("own"))
     blocks = blocks.where(F.size("own") >= min(p[5] for p in postings))
@@ -125,11 +143,50 @@ def containment_join(docs: DataFrame, key_cols: Sequence[str], text_col: str = "
     return met.select(*key_cols, "block", "template", "label", "overlap", (F.col("overlap") / F.size("ranks")).alias("containment"))
 
 
+def window_join(docs: DataFrame, key_cols: Sequence[str], text_col: str = "text", templates: Sequence[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD, counts: dict[str, int] | None = None) -> DataFrame:
+    """(keys, template, label, overlap, containment) of the windows that meet a template, one row for each prefix
+    token in one: the best of all windows of REACH times the template's words in the paragraph that hold the token."""
+    spark = prepare(docs.sparkSession)
+    counts = token_counts(docs, text_col, _vocabulary(templates)) if counts is None else counts
+    postings, rank, heads = _looked_up(templates, threshold, counts)
+    by_rank = sorted(rank, key=rank.get)
+    widths = [REACH * len(text.split()) for _, text in templates]
+    found = spark.createDataFrame([(by_rank[r], t, label, [by_rank[x] for x in ranks], templates[t][1].split(), need, widths[t]) for r, _, t, label, ranks, need in postings], "word string, template int, label string, words array<string>, said array<string>, need int, width int")
+    widest = max(widths)
+
+    near = docs.where(F.col(text_col).rlike(_any_case(heads))).select(*key_cols, F.explode(F.split(F.col(text_col), PARAGRAPHS)).alias("_text"))
+    near = near.where(F.col("_text").rlike(_any_case(heads))).select(*key_cols, F.split(F.trim(spaced(F.col("_text"))), " ").alias("_words"))
+
+    def around(w: Column, i: Column) -> Column:
+        start = F.greatest(i - (widest - 1), F.lit(0))
+        return F.when(w.isin(heads), F.struct(w.alias("word"), (i - start).alias("at"), F.slice("_words", start + 1, F.lit(2 * widest - 1)).alias("near")))
+
+    hits = near.select(*key_cols, F.explode(F.array_compact(F.transform("_words", around))).alias("_hit")).select(*key_cols, "_hit.*")
+    pairs = hits.join(F.broadcast(found), "word")
+    before = F.least(F.col("at"), F.col("width") - 1)
+    pairs = pairs.withColumn("near", F.slice("near", F.col("at") - before + 1, before + F.col("width"))).withColumn("at", before)
+    pairs = pairs.where("size(array_intersect(near, words)) >= need")
+
+    def in_order(window: Column) -> Column:
+        """Length of the longest common subsequence with the template, by the longest that ends at each of its words."""
+        step = lambda ends, w: F.transform("said", lambda t, j: F.when(t == w, F.greatest(ends[j], 1 + F.coalesce(F.array_max(F.slice(ends, 1, j)), F.lit(0)))).otherwise(ends[j]))
+        return F.array_max(F.aggregate(window, F.array_repeat(F.lit(0), F.size("said")), step))
+
+    def shared(i: Column) -> Column:
+        window = F.slice("near", i + 1, F.col("width"))
+        n = F.size(F.array_intersect(window, F.col("words")))
+        return F.when((n >= F.col("need")) & (in_order(window) >= F.col("need")), n).otherwise(0)
+
+    best = F.array_max(F.transform(F.sequence(F.lit(0), "at"), shared))
+    met = pairs.withColumn("overlap", best).where("overlap >= need")
+    return met.select(*key_cols, "template", "label", "overlap", (F.col("overlap") / F.size("words")).alias("containment"))
+
+
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrases: Sequence[tuple[str, str]] = PHRASES, templates: Sequence[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """One row per row of ``docs``: id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     The score is 1 with a base label, else the best containment of a template
-    that a block meets, else 0. Null texts are empty. Rows repeated with the same
+    that a block or a window meets, else 0. Null texts are empty. Rows repeated with the same
     id and text get the same result each.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -137,7 +194,8 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     last_words = [p.split()[-1] for p, _ in phrases]
     place = F.when(F.col("text").rlike(_any_case(last_words)), phrase_places(F.col("text"), phrases))
     base = rows.select("id", mark, count_words(F.col("text")).alias("n_words"), place.alias("p"))
-    met = containment_join(rows.select("id", mark, "text"), ["id", "mark"], "text", templates, threshold)
+    given = (rows.select("id", mark, "text"), ["id", "mark"], "text", templates, threshold, token_counts(rows, "text", _vocabulary(templates)))
+    met = containment_join(*given).drop("block").unionAll(window_join(*given))
     met = met.groupBy("id", "mark").agg(F.collect_set("label").alias("more"), F.max("containment").alias("best"))
     met = met.select(F.col("id").alias("i"), F.col("mark").alias("m"), "more", "best")
     none = F.array().cast("array<string>")

@@ -243,6 +243,21 @@ def test_containment_join_is_exact(spark):
     assert got == want and want
 
 
+def test_wrapped_licenses(spark):
+    said = {
+        "bsd": "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that",
+        "mpl-2": "# This Source Code Form is subject to the terms of the Mozilla Public\r\n# License, v. 2.0. If a copy",
+        "lgpl": "it under the terms of the GNU Lesser General Public\nLicense as published by the Free Software Foundation; either\nversion 2.1 of the License",
+        "gpl-3": "it under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of",
+    }
+    apart = "Redistribution and use in source and binary" + "{}" + "forms with or without modification are permitted"
+    other = "der schheitau der den mit.\nEiner im dem.\nLicensed under the\nApache License."
+    texts = ["x " * 5000 + f"\n{t}\n" + "y " * 5000 for t in said.values()] + [apart.format("\n"), apart.format("\n \n"), apart.format("\n" + "z " * 60), other]
+    rows = licenses.scan_licenses(frame(spark, [(i, t, None, None) for i, t in enumerate(texts)])).collect()
+    assert {r.doc_id: r.labels for r in rows} == dict(enumerate([*said, "bsd", "", "", ""]))
+    assert all((r.score >= 0.8) == (r.labels != "") for r in rows)
+
+
 @given(st.text(alphabet="<|>/s[]INSTY\\ x\n", max_size=40), st.text(alphabet="<|a", max_size=6))
 @settings(max_examples=400, deadline=None)
 def test_escape_round_trip(text, role):
