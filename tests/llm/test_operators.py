@@ -380,6 +380,20 @@ def test_toxicity(spark):
     assert toxicity.drop_toxic(df, labels.where("false")).count() == 600
 
 
+def test_toxic_words_of_equal_symbols(spark, monkeypatch):
+    mild, bad = "갈갈", "가가"
+    assert all(np.array_equal(a, b) for a, b in zip(toxicity.expressions(mild), toxicity.expressions(bad)))
+    rows = [(i, "the one and other then " * 6 + f"{bad if i % 5 == 0 else mild} " * 4, None, "s") for i in range(300)]
+    df = frame(spark, rows + rows[1:2])
+    labels = spark.createDataFrame([(i, 1, int(i % 5 == 0)) for i in range(300)], "doc_id bigint, quality int, toxic int")
+    model = toxicity.fit_toxicity(toxicity.labelled(df.where("doc_id % 3 <> 1"), labels))
+    held = sorted(toxicity.score_toxicity(df.where("doc_id % 3 = 1"), model, ["doc_id"]).collect())
+    assert len(held) == 101 and all((r.score >= 0.7) == (r.doc_id % 5 == 0) for r in held)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    again = sorted(toxicity.score_toxicity(df.where("doc_id % 3 = 1"), model, ["doc_id"]).collect())
+    assert np.allclose([r.score for r in held], [r.score for r in again])
+
+
 def test_expressions_do_not_depend_on_chunks(monkeypatch):
     text = "The%%% idiot -- éé 42 " * 50
     whole = np.concatenate(list(toxicity.expressions(text)))
