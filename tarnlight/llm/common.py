@@ -6,6 +6,7 @@ from __future__ import annotations
 import os
 import tempfile
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -20,31 +21,59 @@ BATCH_ROWS = 512
 def prepare(spark: SparkSession) -> SparkSession:
     """Bound the Arrow batches and make sure that a checkpoint folder is set.
 
-    The folder comes from ``spark.checkpoint.dir``; a temporary one is made only
-    where that is unset (tests on a local master).
+    The folder comes from ``spark.checkpoint.dir``. Only a local master, where all
+    tasks share the machine, may do without: it gets a temporary one.
     """
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and sc.master.partition("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="ckpt"))
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return spark
 
 
+@contextmanager
+def long_batches(spark: SparkSession, rows: int = 1 << 16):
+    """While it lasts, Arrow batches have up to ``rows`` rows: for tables of a few numbers a row."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = prepare(spark).conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder."""
     prepare(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-#: Rows of an id table (some tens of bytes each) up to which it is broadcast.
-BROADCAST_ROWS = 1_000_000
+#: Bytes up to which a table is broadcast.
+BROADCAST_BYTES = 32 << 20
+
+
+def broadcast_bytes(df: DataFrame, rows: int) -> int:
+    """Bytes of ``rows`` rows in a broadcast hash table, strings taken at 40."""
+    return rows * (32 + sum(48 if f.dataType.typeName() in ("string", "binary") else 8 for f in df.schema))
 
 
 def small(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """``df``, which should be materialised, with a broadcast hint if it has at most BROADCAST_ROWS rows; beyond
-    that, joins with it shuffle."""
-    return F.broadcast(df) if (df.count() if rows is None else rows) <= BROADCAST_ROWS else df
+    """``df``, which should be materialised and of flat columns, with a broadcast hint if it takes at most
+    BROADCAST_BYTES; beyond that, joins with it shuffle and give the same rows."""
+    return F.broadcast(df) if broadcast_bytes(df, df.count() if rows is None else rows) <= BROADCAST_BYTES else df
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name`` with as many underscores before it as make it new among the columns of ``df``, whatever their case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -128,15 +157,12 @@ def grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-#: Edges (16 bytes each) up to which one task finds the components of a graph.
-TASK_EDGES = 1_000_000
+#: Edges (16 bytes each) that a task holds at a time when it thins out its share of a graph.
+HELD_EDGES = 1 << 20
 
 
-def _components_of(batches):
-    """Components of the edges a task is given, by hooking to smaller roots and pointer jumping."""
-    held = [np.stack([b.column(i).to_numpy() for i in (0, 1)]) for b in batches if b.num_rows]
-    if not held:
-        return
+def _stars(held: list[np.ndarray]) -> pa.RecordBatch:
+    """Edges from each node to the smallest of its component among the held edges, by hooking and pointer jumping."""
     ends = np.concatenate(held, axis=1)
     nodes, at = np.unique(ends, return_inverse=True)
     a, b = at.reshape(ends.shape)
@@ -148,46 +174,53 @@ def _components_of(batches):
         np.minimum.at(root, np.maximum(ra, rb), np.minimum(ra, rb))
         while (root[root] != root).any():
             root = root[root]
-    for i in range(0, len(nodes), 1 << 16):
-        yield pa.record_batch([pa.array(nodes[i : i + (1 << 16)]), pa.array(nodes[root[i : i + (1 << 16)]])], names=["node", "root"])
+    own = np.flatnonzero(root != np.arange(len(nodes)))
+    return pa.record_batch([pa.array(nodes[own]), pa.array(nodes[root[own]])], names=["u", "v"])
+
+
+def _thinned(batches):
+    held, n = [], 0
+    for b in batches:
+        if b.num_rows:
+            held.append(np.stack([b.column(i).to_numpy() for i in (0, 1)]))
+            n += b.num_rows
+        if n >= HELD_EDGES:
+            yield _stars(held)
+            held, n = [], 0
+    if held:
+        yield _stars(held)
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of ``edges`` (a, b); root is the smallest node reachable.
 
-    Up to TASK_EDGES distinct edges, one task does it. Beyond, alternating
-    large-star and small-star steps: each is an aggregation with a map-side
-    combine and an equi-join on the node, so a hub's neighbours are never
-    gathered into one row, and only two scalars an iteration reach the driver.
+    Each task first replaces its share of the edges by stars that say the same, so
+    at most one edge a node and task is left. Alternating large-star and
+    small-star steps do the rest: each is an aggregation with a map-side combine
+    and an equi-join on the node, so a hub's neighbours are never gathered into
+    one row, and nothing but the end is told to the driver.
     """
-    pairs = cut(
-        edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    )
-    if pairs.count() <= TASK_EDGES:
-        return map_batches(pairs.coalesce(1), _components_of, "node bigint, root bigint")
-
-    def state(df: DataFrame) -> tuple:
-        return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-
-    before = state(pairs)
-    while before[0]:
+    every = edges.where("a <> b").select("a", "b")
+    with long_batches(edges.sparkSession):
+        pairs = cut(map_batches(every, _thinned, "u bigint, v bigint").distinct())
+    while True:
+        # A forest of stars: no end points on, and none has two roots.
+        on = pairs.join(pairs.select(F.col("u").alias("v")), "v", "left_semi").select("v")
+        if on.unionAll(pairs.groupBy("u").count().where("count > 1").select("u")).isEmpty():
+            break
         both = pairs.select("u", "v").unionAll(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = large.where("u <> v")
         down = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (
+        star = (
             large.join(down, "u")
             .where("v <> m")
             .select(F.col("v").alias("u"), F.col("m").alias("v"))
             .unionAll(down.select("u", F.col("m").alias("v")))
             .distinct()
         )
-        pairs = cut(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
-        after = state(pairs)
-        if after == before:
-            break
-        before = after
+        pairs = cut(star.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(
         pairs.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     )
@@ -197,10 +230,14 @@ def written(df: DataFrame, name: str) -> tuple[DataFrame, Callable[[], None]]:
     """``df`` as a Parquet table in the shared checkpoint folder, and what removes the table."""
     spark = prepare(df.sparkSession)
     path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{os.urandom(8).hex()}"
-    df.write.parquet(path)
 
     def remove() -> None:
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
-    return spark.read.parquet(path), remove
+    try:
+        df.write.parquet(path)
+    except BaseException:
+        remove()
+        raise
+    return spark.read.schema(df.schema).parquet(path), remove

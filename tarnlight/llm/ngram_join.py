@@ -1,23 +1,35 @@
 """N-gram Jaccard join over word shingles.
 
 Documents become sets of hashed word shingles. Sets of equal content are one
-node. A pair of nodes that reaches the threshold has sizes in one or in two
-neighbouring bands, and shares one of the rarest shingles of each
-set (its prefix), so every tile (size band, prefix shingle) that both enter holds
-the pair: no link is lost. Inside the tiles a parity bitmap of hashed shingles
-bounds the overlap from above (the bits that differ are no more than the shingles
-that differ); what passes is decided by intersecting the sorted shingle arrays.
+node. Nodes enter tiles of a size band, so that any two that reach the threshold
+meet in one; there are two kinds of tile keys.
+
+``subsets``: in a band whose pairs differ by at most d shingles, the shingles are
+dealt to d + 1 + spare classes by their hash. Two sets that differ by d or less
+have spare + 1 classes alike, of which one is not empty, unless a set has more
+than ``spare`` empty classes; then it enters the tiles of its empty ones too. A key
+is the hash of a whole class, so texts that are not near copies hardly ever meet.
+
+``prefix``: the key is one of a set's rarest shingles, as many as the threshold
+leaves out, and one more. Fewer keys at low thresholds, but texts that share rare
+shingles by chance meet; this suits long shingles. The order of rarity comes from
+a count sketch over all documents (``SLOTS`` counters, so its broadcast has a fixed
+size); any order gives the same result.
+
+Keys are dealt by ranges of (key, node), so a key that a third of all sets has is
+spread over tasks, and only keys that two nodes share go on. Inside the tiles a
+parity bitmap of hashed shingles bounds the overlap from above (the bits that
+differ are no more than the shingles that differ); what passes is decided by
+intersecting the sorted shingle arrays.
 
 A tile's nodes are first compared with the tile's smallest and largest node, and
-joined into components. Only tiles that still hold several components go on to
-an all-pairs comparison, in blocks of at most ``BLOCK`` rows a side, between
-different components, after each node met its closest partner in a few of its
-tiles. This keeps a group of thousands of near copies linear and is still exact:
-two nodes of a tile are either compared or already connected.
-
-The order of rarity comes from a count sketch of shingles over all documents
-(``SLOTS`` counters, so its broadcast has a fixed size). Any order gives the same
-result; a good one keeps common passages out of the prefixes.
+joined into components. Nodes of tiles that still hold several components meet
+their closest partner in a few of their tiles, in blocks of at most ``BLOCK`` rows
+a side; then those outside a tile's largest component meet all others of the
+tile, closest ones first, more of them in each round, until no pair that passes
+the bound is left between two components. This keeps a group of thousands of near
+copies linear and is still exact: two nodes of a tile are either compared or
+already connected.
 """
 
 from __future__ import annotations
@@ -29,14 +41,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, NOT_SPACE, WordHashes, components, cut, grouped, map_batches, mix, small, table, written
+from .common import NOT_SPACE, WordHashes, components, cut, fresh, grouped, long_batches, map_batches, mix, small, table, written
 
 SLOTS = 1 << 20
-BLOOM_BITS = 1 << 24
+#: Bits of the filter that picks texts to shingle again: so many an id, at most FILTER_BITS (64 MB). A denser filter
+#: lets more texts through, which the join on the node then drops.
+BITS_AN_ID, FILTER_BITS = 16, 1 << 29
 BLOCK = 1024
 SEEN = 500_000
-#: Rounds, and tiles of a node in each, of the closest-partner step.
-TURNS, KEYS_A_TURN = 2, 3
+#: Rounds, and tiles of a node in each, of the closest-partner step; then partners of a node in a tile's first full round.
+TURNS, KEYS_A_TURN, WIDTH = 2, 3, 2
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x2545F4914F6CDD1D, 0x94D049BB133111EB], np.uint64)
 
 
@@ -101,15 +115,60 @@ def prefix_size(n: int, num: int, den: int) -> int:
     return n - (num * n + den - 1) // den + 1
 
 
+class Classes:
+    """Bands of the smaller set of a pair, and the classes that shingles are dealt to in each."""
+
+    def __init__(self, num: int, den: int) -> None:
+        self.num, self.den = num, den
+        self.tops = [1]
+        self.classes = [self._classes(1, 1)]
+
+    def _classes(self, low: int, top: int) -> tuple[int, int]:
+        """(classes, spare) of the band of sizes low to top; no classes where only equal sets can be partners."""
+        apart = (top + top * self.den // self.num) * (self.den - self.num) // (self.den + self.num)
+        if not apart:
+            return 0, 0
+        for spare in range(apart + 2):  # until a set hardly ever has more empty classes
+            k = apart + 1 + spare
+            empty = k * (1 - 1 / k) ** low
+            if spare >= empty + 4 * empty**0.5:
+                break
+        return k, spare
+
+    def of(self, n: int) -> range:
+        """Bands where a set of n may meet a partner: those of n and of all smaller partners."""
+        while self.tops[-1] < n:
+            low = self.tops[-1] + 1
+            self.tops.append(max(low, self.tops[-1] * self.den**3 // self.num**3))
+            self.classes.append(self._classes(low, self.tops[-1]))
+        return range(int(np.searchsorted(self.tops, -(-self.num * n // self.den))), int(np.searchsorted(self.tops, n)) + 1)
+
+    def keys(self, s: np.ndarray) -> np.ndarray:
+        """Tile keys of a set."""
+        out = [np.empty(0, np.uint64)]
+        for band in self.of(len(s)):
+            k, spare = self.classes[band]
+            if not k:
+                continue
+            own = (s % np.uint64(k)).astype(np.int64)
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(s + _ODD[3])[np.argsort(own, kind="stable")], dtype=np.uint64)])
+            size = np.bincount(own, minlength=k)
+            upto = np.cumsum(size)
+            place = np.arange(k, dtype=np.uint64)
+            key = mix(sums[upto] - sums[upto - size] + size.astype(np.uint64) * _ODD[0] + place * _ODD[1] + np.uint64((band + 1) * int(_ODD[2]) % 2**64))
+            out.append(key if (size == 0).sum() > spare else key[size > 0])
+        return np.concatenate(out)
+
+
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list]]:
     for batch in batches:
         if batch.num_rows:
             yield batch, batch.column(1).to_pylist()
 
 
-def slot_of(column: str):
-    """Bit of the Bloom filter that a value has; a null has one too."""
-    return F.pmod(F.xxhash64(column), F.lit(BLOOM_BITS)).alias("slot")
+def slot_of(column: str, bits: int):
+    """Bit of the filter that a value has; a null has one too."""
+    return F.pmod(F.xxhash64(column), F.lit(bits))
 
 
 def _sketch(words: int) -> Callable:
@@ -128,11 +187,11 @@ def _sketch(words: int) -> Callable:
 
 
 def _profiles(words: int, num: int, den: int, sketch) -> Callable:
-    """Each text's node and size; for a node not seen in this task, its bitmap and tile keys too."""
+    """Each text's node and size; for a node not seen in this task, its bitmap and keys too. sketch: for prefix keys."""
 
     def run(batches):
-        heavy = sketch.value
-        hashes, seen = WordHashes(NOT_SPACE), set()
+        heavy = sketch.value if sketch else None
+        hashes, seen, classes = WordHashes(NOT_SPACE), set(), Classes(num, den)
         for batch, texts in _texts(batches):
             nodes, sizes, maps, keys = [], [], [], []
             for t in texts:
@@ -148,31 +207,72 @@ def _profiles(words: int, num: int, den: int, sketch) -> Callable:
                 if len(seen) >= SEEN:
                     seen.clear()
                 seen.add(node)
-                freq = heavy[(s >> np.uint64(44)).astype(np.int64)]
-                p = prefix_size(n, num, den)
-                first = s[np.argsort(freq, kind="stable")[:p]] if freq.any() else s[:p]
-                own = [mix(first + np.uint64((band + 1) * int(_ODD[2]) % 2**64)) for band in bands(n, num, den)]
+                if heavy is None:
+                    own = classes.keys(s)
+                else:
+                    freq = heavy[(s >> np.uint64(44)).astype(np.int64)]
+                    p = prefix_size(n, num, den)
+                    own = s[np.argsort(freq, kind="stable")[:p]] if freq.any() else s[:p]
                 maps.append(bitmap(s))
-                keys.append(np.concatenate(own).view(np.int64))
+                keys.append(own.view(np.int64))
             yield pa.record_batch(
-                [batch.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(maps, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                names=["id", "node", "n", "bits", "keys"],
+                [*batch.columns[:1], *batch.columns[2:], pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(maps, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                names=["id", "mark", "node", "n", "bits", "keys"],
             )
 
     return run
 
 
-def _arrays(words: int, bloom) -> Callable:
-    """Shingle arrays of texts whose node or, where given, whose id may be among the candidates."""
+def _shared(batches):
+    """Of rows (key, node) sorted by both, those whose key the row before or behind has too, with another node. The
+    first and the last key of a task may go on in another task, so they stay."""
+    key, node, marked = np.empty(0, np.int64), np.empty(0, np.int64), True
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key, node = (np.concatenate([held, batch.column(i).to_numpy()]) for i, held in enumerate((key, node)))
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
+        key, node = key[new], node[new]
+        keep = np.zeros(len(key), bool)
+        keep[1:] = key[1:] == key[:-1]
+        keep[:-1] |= keep[1:]
+        keep[0] |= marked
+        done = np.flatnonzero(keep[:-1])
+        if len(done):
+            yield pa.record_batch([pa.array(key[done]), pa.array(node[done])], names=["key", "node"])
+        key, node, marked = key[-1:], node[-1:], bool(keep[-1])
+    if len(key):
+        yield pa.record_batch([pa.array(key), pa.array(node)], names=["key", "node"])
+
+
+def _banded(num: int, den: int) -> Callable:
+    """Tile keys of (key, node, n): the key in each band that a set of n enters."""
 
     def run(batches):
-        marks = bloom.value if bloom else None
+        known: dict[int, list[int]] = {}
+        for batch in batches:
+            key, node, n = (batch.column(i).to_numpy() for i in range(3))
+            own = [known[x] if x in known else known.setdefault(x, bands(x, num, den)) for x in n.tolist()]
+            at = np.repeat(np.arange(len(n)), [len(x) for x in own])
+            band = np.array([b for x in own for b in x], np.uint64)
+            tile = mix(key[at].view(np.uint64) + (band + np.uint64(1)) * _ODD[2]).view(np.int64)
+            yield pa.record_batch([pa.array(tile), pa.array(node[at])], names=["key", "node"])
+
+    return run
+
+
+def _arrays(words: int, marks) -> Callable:
+    """Shingle arrays of the texts whose bit is set."""
+
+    def run(batches):
+        own = marks.value
         hashes, seen = WordHashes(NOT_SPACE), set()
-        for batch, texts in _texts(batches):
+        for batch in batches:
+            slot = batch.column(0).to_numpy()
+            wanted = np.flatnonzero(own[slot >> 3] >> (slot & 7).astype(np.uint8) & 1)
             nodes, arrays = [], []
-            for slot, t in zip(batch.column(0).to_pylist(), texts):
-                if marks is not None and not marks[slot >> 3] >> (slot & 7) & 1:
-                    continue
+            for t in batch.column(1).take(pa.array(wanted)).to_pylist():
                 s = shingle_set(t, words, hashes)
                 if not len(s) or (node := node_of(s)) in seen:
                     continue
@@ -218,9 +318,9 @@ def _exact(num: int, den: int) -> Callable:
     return run
 
 
-def _tiles(num: int, den: int, closest: bool) -> Callable:
-    """Pairs of different components inside each (key, block, chunk) tile that the bounds leave: all of them, or
-    the one of fewest differing bits for each node."""
+def _tiles(num: int, den: int, width: int) -> Callable:
+    """Pairs of different components inside each (key, block, chunk) tile that the bounds leave: for each row asked
+    the ``width`` with the fewest differing bits. more: some that the bounds leave were left out."""
 
     def run(batches):
         for tile in grouped(batches, "tile"):
@@ -228,10 +328,10 @@ def _tiles(num: int, den: int, closest: bool) -> Callable:
             parts: dict[tuple, tuple[list, list]] = {}
             for r in rows:  # the tile is a hash: take different keys that meet in it apart
                 parts.setdefault((r["key"], r["block"], r["chunk"]), ([], []))[r["probe"]].append(r)
-            a, b = [], []
+            a, b, more = [], [], []
             for base, probes in parts.values():
-                probes = base if closest else probes
-                if not base or not probes:
+                probes = probes or base
+                if not base:
                     continue
                 size = min(len(r["bits"]) for r in (*base, *probes))
                 bits, n, node, root = (
@@ -245,44 +345,66 @@ def _tiles(num: int, den: int, closest: bool) -> Callable:
                         own = fold(np.frombuffer(r["bits"], np.uint8), size).view(np.uint64)
                         apart = np.bitwise_count(bits[near] ^ own).sum(1, dtype=np.int64)
                         ok = apart * (den + num) <= (n[near] + r["n"]) * (den - num)
-                        near = near[ok]
-                        if closest and near.size:
-                            near = near[[np.argmin(apart[ok])]]
+                        near, apart = near[ok], apart[ok]
+                        left = near.size > width
+                        if left:
+                            near = near[np.lexsort((node[near], apart))[:width]]
                         a += np.minimum(node[near], r["node"]).tolist()
                         b += np.maximum(node[near], r["node"]).tolist()
+                        more += [left] * near.size
             if a:
-                yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(more)], names=["a", "b", "more"])
 
     return run
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, num: int = 80, den: int = 100, keys: str = "prefix") -> DataFrame:
     """One row per row of ``docs``: id, n_shingles, component_id (smallest id reachable by links).
 
     Two documents link when ``den * intersection >= num * union`` of their sets
     of ``words``-word shingles. Null and blank texts have the empty set, link
     with nothing and are their own component. Equal texts are one node. Other
     columns are ignored; an id of null gets the component of its text, or null.
-    Node ids and shingles are 64-bit hashes: two different sets are taken for
-    one with a probability of about n^2 / 2^65 over n distinct sets.
+    Rows repeated with one id get a row each, by their own text. An empty table
+    gives an empty result; very long texts are read whole. ``keys`` is the kind of
+    tile keys, ``prefix`` or ``subsets``; both give the same rows. Node ids and
+    shingles are 64-bit hashes: two different sets are taken for one with a
+    probability of about n^2 / 2^65 over n distinct sets.
     """
-    spark = docs.sparkSession
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return _linked(src, words, num, den, keys).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+
+
+def _linked(src: DataFrame, words: int, num: int, den: int, keys: str) -> DataFrame:
+    """id, mark (hash of the text), n, root (null for the empty set), component_id (null likewise) of each row of (id, text)."""
+    if keys not in ("prefix", "subsets"):
+        raise ValueError(f"no such keys: {keys}")
+    spark = src.sparkSession
+    src = src.select("id", "text", F.xxhash64("text").alias("mark"))
     id_kind = src.schema["id"].dataType.simpleString()
 
-    counted = map_batches(src, _sketch(words), "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow().to_pandas()
-    heavy = np.zeros(SLOTS, np.int64)
-    heavy[counted["slot"].to_numpy(np.int64)] = counted["n"].to_numpy(np.int64)
-    sketch = spark.sparkContext.broadcast(np.minimum(heavy, 2**31 - 1).astype(np.int32))
+    sketch = None
+    if keys == "prefix":
+        counted = map_batches(src, _sketch(words), "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow().to_pandas()
+        heavy = np.zeros(SLOTS, np.int64)
+        heavy[counted["slot"].to_numpy(np.int64)] = counted["n"].to_numpy(np.int64)
+        sketch = spark.sparkContext.broadcast(np.minimum(heavy, 2**31 - 1).astype(np.int32))
 
-    profile = map_batches(src, _profiles(words, num, den, sketch), f"id {id_kind}, node bigint, n bigint, bits binary, keys array<bigint>")
+    profile = map_batches(src, _profiles(words, num, den, sketch), f"id {id_kind}, mark bigint, node bigint, n bigint, bits binary, keys array<bigint>")
     profile, remove = written(profile, "shingles")
-    member = profile.select("id", "node", "n")
-    sig = profile.where("bits IS NOT NULL").groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
-
-    keys = profile.select(F.explode("keys").alias("key"), "node")
-    ends = keys.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi")
-    held = cut(keys.join(ends, "key").where("node <> lo").distinct())
+    member = profile.select("id", "mark", "node", "n")
+
+    dealt = profile.select(F.explode("keys").alias("key"), "node").repartitionByRange("key", "node").sortWithinPartitions("key", "node")
+    with long_batches(spark):
+        shared = cut(map_batches(dealt, _shared, "key bigint, node bigint"))
+    near = shared.select("node").distinct()
+    sig = profile.where("bits IS NOT NULL").select("node", "n", "bits").join(near, "node", "left_semi").groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
+    sig = cut(sig)
+    if keys == "prefix":
+        with long_batches(spark):
+            shared = cut(map_batches(shared.join(sig.select("node", "n"), "node").select("key", "node", "n"), _banded(num, den), "key bigint, node bigint"))
+    ends = shared.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi")
+    held = cut(shared.join(ends, "key").where("node <> lo").distinct())
 
     def bounded(pairs: DataFrame) -> DataFrame:
         """Pairs that sizes and bitmaps do not rule out."""
@@ -291,24 +413,24 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         return map_batches(sized.select("a", "b", "na", "nb", "bitsa", "bitsb"), _bounded(num, den), "a bigint, b bigint")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """Those of some bounded pairs that link. Arrays are built for the texts of their nodes alone: a broadcast
-        of their ids picks them, or, beyond its bound, a Bloom filter of fixed size before any shingling."""
-        near = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        ids = cut(member.join(near, "node", "left_semi").groupBy("node").agg(F.min("id").alias("id")).select("id").distinct())
-        if ids.count() <= BROADCAST_ROWS:
-            wanted, marks = src.join(F.broadcast(ids), src.id.eqNullSafe(ids.id), "left_semi"), None
-        else:
-            bits = ids.select(slot_of("id").alias("s")).selectExpr("shiftright(s, 5) AS w", "shiftleft(1L, cast(pmod(s, 32L) AS int)) AS m")
-            bits = bits.groupBy("w").agg(F.bit_or("m").alias("m")).toArrow()
-            bloom = np.zeros(BLOOM_BITS // 32, np.uint32)
-            bloom[bits.column("w").to_numpy()] = bits.column("m").to_numpy().astype(np.uint32)
-            wanted, marks = src, spark.sparkContext.broadcast(bloom.view(np.uint8))
-        arrays = map_batches(wanted.select(slot_of("id").alias("slot"), "text"), _arrays(words, marks), "node bigint, arr binary")
-        arrays = arrays.join(near, "node", "left_semi").groupBy("node").agg(F.first("arr").alias("arr"))
+        """Those of some bounded pairs that link. Only texts whose id is in a filter over the pairs' ids are shingled again."""
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        ids = cut(member.join(ends, "node", "left_semi").groupBy("node").agg(F.min("id").alias("id")).select("id").distinct())
+        bits = 1 << 16
+        while bits < min(BITS_AN_ID * ids.count(), FILTER_BITS):
+            bits *= 2
+        words_of = ids.select(slot_of("id", bits).alias("s")).selectExpr("shiftright(s, 5) AS w", "shiftleft(1L, cast(pmod(s, 32L) AS int)) AS m")
+        words_of = words_of.groupBy("w").agg(F.bit_or("m").alias("m")).toArrow()
+        filled = np.zeros(bits // 32, np.uint32)
+        filled[words_of.column("w").to_numpy()] = words_of.column("m").to_numpy().astype(np.uint32)
+        marks = spark.sparkContext.broadcast(filled.view(np.uint8))
+        arrays = map_batches(src.select(slot_of("id", bits).alias("slot"), "text"), _arrays(words, marks), "node bigint, arr binary")
+        arrays = arrays.join(ends, "node", "left_semi").groupBy("node").agg(F.first("arr").alias("arr"))
         arrays, forget = written(arrays, "arrays")
         x, y = (arrays.select(F.col("node").alias(c), F.col("arr").alias(f"arr{c}")) for c in "ab")
         links = cut(map_batches(pairs.join(x, "a").join(y, "b").select("a", "b", "arra", "arrb"), _exact(num, den), "a bigint, b bigint"))
         forget()
+        marks.destroy()
         return links
 
     def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
@@ -331,67 +453,86 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     # Tiles of three or more nodes that are not yet one component.
     inner = held.where("node <> hi")
-    more = cut(inner.select("key", "node").unionAll(inner.select("key", F.explode(F.array("lo", "hi")).alias("node")).distinct()))
+    many = cut(inner.select("key", "node").unionAll(inner.select("key", F.explode(F.array("lo", "hi")).alias("node")).distinct()))
     cols = ["key", "node", "root", "n", "bits"]
     spot = lambda k: F.pmod(F.xxhash64("node"), F.col(k)).cast("int")
     every = lambda k: F.sequence(F.lit(0), F.col(k) - 1)
 
     def still_open(roots: DataFrame) -> DataFrame:
         """Members of tiles that hold several components, with the tile's largest one and its block counts."""
-        rooted = more.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        rooted = many.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         shares = rooted.groupBy("key", "root").agg(F.count("*").alias("c"))
-        keys = shares.groupBy("key").agg(F.sum("c").alias("m"), F.max_by("root", F.struct("c", "root")).alias("big"), F.max("c").alias("c"), F.count("*").alias("k")).where("k > 1")
-        keys = keys.select("key", "big", F.ceil(F.col("m") / BLOCK).cast("int").alias("nb"), F.ceil((F.col("m") - F.col("c")) / BLOCK).cast("int").alias("nc"))
-        return rooted.join(keys, "key")
+        open_keys = shares.groupBy("key").agg(F.sum("c").alias("m"), F.max_by("root", F.struct("c", "root")).alias("big"), F.max("c").alias("c"), F.count("*").alias("k")).where("k > 1")
+        open_keys = open_keys.select("key", "big", F.ceil(F.col("m") / BLOCK).cast("int").alias("nb"), F.ceil((F.col("m") - F.col("c")) / BLOCK).cast("int").alias("nc"))
+        return rooted.join(open_keys, "key")
 
-    def met(tiles: DataFrame, closest: bool) -> DataFrame:
+    def met(tiles: DataFrame, width: int) -> DataFrame:
         tiles = tiles.withColumn("tile", F.xxhash64("key", "block", "chunk")).repartition(F.col("tile")).sortWithinPartitions("tile")
-        return cut(map_batches(tiles, _tiles(num, den, closest), "a bigint, b bigint").distinct())
+        return cut(map_batches(tiles, _tiles(num, den, width), "a bigint, b bigint, more boolean").groupBy("a", "b").agg(F.max("more").alias("more")))
 
     # Each node's closest partner in a few of its tiles: linear, and it connects most of a group of near copies.
     for turn in range(TURNS):
         few = F.row_number().over(Window.partitionBy("node").orderBy(F.xxhash64("key", F.lit(turn)))) <= KEYS_A_TURN
         some = still_open(roots).withColumn("few", few).where("few").join(sig, "node")
-        found = met(some.select(*cols, spot("nb").alias("block"), F.lit(0).alias("chunk"), F.lit(0).alias("probe")), True)
+        found = met(some.select(*cols, spot("nb").alias("block"), F.lit(0).alias("chunk"), F.lit(0).alias("probe")), 1)
         if found.isEmpty():
             break
-        links = links.unionAll(verified(found))
+        links = links.unionAll(verified(found.select("a", "b")))
         roots = cut(components(links))
 
-    # What is still apart is compared in full.
-    todo = still_open(roots).join(sig, "node")
-    base = todo.select(*cols, spot("nb").alias("block"), F.explode(every("nc")).alias("chunk"), F.lit(0).alias("probe"))
-    probe = todo.where("root <> big").select(*cols, F.explode(every("nb")).alias("block"), spot("nc").alias("chunk"), F.lit(1).alias("probe"))
-    second = met(base.unionAll(probe), False)
-    if not second.isEmpty():
-        roots = cut(components(links.unionAll(verified(second))))
+    # What is still apart is compared in full, closest partners first.
+    tested, width, left = None, WIDTH, True
+    while left:
+        todo = still_open(roots).join(sig, "node")
+        base = todo.select(*cols, spot("nb").alias("block"), F.explode(every("nc")).alias("chunk"), F.lit(0).alias("probe"))
+        probe = todo.where("root <> big").select(*cols, F.explode(every("nb")).alias("block"), spot("nc").alias("chunk"), F.lit(1).alias("probe"))
+        found = met(base.unionAll(probe), width)
+        left = not found.where("more").isEmpty()
+        new = found.select("a", "b")
+        if tested is not None:
+            new = cut(new.join(tested, ["a", "b"], "left_anti"))
+        if not new.isEmpty():
+            links = links.unionAll(verified(new))
+            roots = cut(components(links))
+            tested = new if tested is None else tested.unionAll(new)
+        width *= 8
 
     smallest = member.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("id"))
     at = smallest.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = at.groupBy("root").agg(F.min("id").alias("component_id"))
-    named = at.select("node", "root").join(least, "root").select("node", "component_id")
-    out = member.join(named, "node", "left").select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id")
-    )
-    out = cut(out)
+    named = at.select("node", "root").join(least, "root")
+    out = cut(member.join(named, "node", "left").select("id", "mark", "n", "root", "component_id"))
     remove()
     return out
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The rows of ``docs`` but one of each component: the one of the smallest id stays.
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, num: int = 80, den: int = 100, keys: str = "prefix") -> DataFrame:
+    """The rows of ``docs``, of each component only one: that of the smallest id, a null id last, then of the smallest
+    text hash.
 
-    Rows repeated with one id count as one document. Rows whose id is null take no part and stay.
+    A component is made of rows, whatever their ids: rows repeated with one id and
+    unrelated texts all stay, and copies without an id leave one. Rows equal in id
+    and text leave one. Null and blank texts are no copies and all stay. Very long
+    texts are read whole; an empty table stays empty; all columns are kept.
     """
-    own = jaccard_components(docs, id_col, text_col, words, num, den)
-    kept = own.where(F.col(id_col) == F.col("component_id")).groupBy(id_col).agg(F.count("*").alias("n"))
-    kept = cut(kept)
-    alone, several = kept.where("n = 1").select(id_col), kept.where("n > 1").select(id_col)
-    out = docs.join(small(alone), id_col, "left_semi").unionAll(docs.where(F.col(id_col).isNull()))
-    if not several.isEmpty():
-        out = out.unionAll(docs.join(small(several), id_col, "left_semi").dropDuplicates([id_col]))
+    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    own = _linked(src, words, num, den, keys).where("root IS NOT NULL").groupBy("root", "id", "mark").agg(F.count("*").alias("rows"))
+    order = F.struct(F.col("id").isNull(), F.col("id"), F.col("mark"))
+    best = own.groupBy("root").agg(F.min(order).alias("best"))
+    own = cut(own.join(best, "root").select("id", "mark", "rows", (order == F.col("best")).alias("stays")))
+    mark, i, m = fresh(docs, "mark"), fresh(docs, "i"), fresh(docs, "m")
+    marked = docs.withColumn(mark, F.xxhash64(text_col))
+
+    def rows_in(which: str, how: str) -> DataFrame:
+        of = cut(own.where(which).select(F.col("id").alias(i), F.col("mark").alias(m)))
+        return marked.join(small(of), F.col(id_col).eqNullSafe(F.col(i)) & (F.col(mark) == F.col(m)), how)
+
+    # Few rows go, so they are listed. A null text has the hash of nothing, which no row of ``own`` has.
+    out = rows_in("NOT stays OR rows > 1", "left_anti")
+    if not own.where("stays AND rows > 1").isEmpty():
+        out = out.unionAll(rows_in("stays AND rows > 1", "left_semi").dropDuplicates([id_col, mark]))
     return out.select(*docs.columns)
 
 
 def op5_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
-    return jaccard_components(table(spark, sf_dir, "documents"), words=3, num=90, den=100)
+    return jaccard_components(table(spark, sf_dir, "documents"), words=3, num=90, den=100, keys="subsets")

@@ -67,25 +67,79 @@ def brute_components(rows, words, num, den):
     return {i: (len(sets[i]), top(i)) for i in sets}
 
 
-@pytest.mark.parametrize(("words", "num", "bloom"), [(3, 90, False), (5, 80, True), (2, 60, False)])
-def test_jaccard_components(spark, monkeypatch, words, num, bloom):
-    if bloom:  # the way beyond the broadcast's bound
-        monkeypatch.setattr(ngram_join, "BROADCAST_ROWS", 0)
+@pytest.mark.parametrize(("words", "num", "keys"), [(3, 90, "subsets"), (5, 80, "prefix"), (2, 60, "prefix"), (2, 80, "subsets"), (2, 60, "subsets")])
+def test_jaccard_components(spark, monkeypatch, words, num, keys):
     monkeypatch.setattr(ngram_join, "BLOCK", 8)
+    monkeypatch.setattr(ngram_join, "WIDTH", 1)
     rows = list(enumerate(texts()))
-    got = ngram_join.jaccard_components(frame(spark, [(i, t, None, None) for i, t in rows]), words=words, num=num)
+    got = ngram_join.jaccard_components(frame(spark, [(i, t, None, None) for i, t in rows]), words=words, num=num, keys=keys)
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == brute_components(rows, words, num, 100)
 
 
-def test_jaccard_awkward(spark):
-    rows = ngram_join.jaccard_components(awkward(spark)).collect()
+def test_jaccard_dense_group(spark, monkeypatch):
+    """Copies with a few edits each, of which some link only through others, in tiles cut into many blocks."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 16)
+    monkeypatch.setattr(ngram_join, "WIDTH", 1)
+    rng = np.random.default_rng(8)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(150):
+        own = list(base)
+        for _ in range(rng.integers(0, 5)):
+            own[rng.integers(60)] = f"x{rng.integers(40)}"
+        rows.append((i, " ".join(own)))
+    for words, num, keys in ((1, 90, "subsets"), (1, 85, "prefix")):
+        got = ngram_join.jaccard_components(frame(spark, [(i, t, None, None) for i, t in rows]), words=words, num=num, keys=keys)
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == brute_components(rows, words, num, 100)
+
+
+def test_op5_query(spark, tmp_path):
+    rows = list(enumerate(texts()))
+    frame(spark, [(i, t, None, None) for i, t in rows]).write.parquet(f"{tmp_path}/documents.parquet")
+    got = ngram_join.op5_ngram_jaccard(spark, str(tmp_path))
+    assert got.dtypes == [("doc_id", "bigint"), ("n_shingles", "bigint"), ("component_id", "bigint")]
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == brute_components(rows, 3, 90, 100)
+
+
+@pytest.mark.parametrize("keys", ["prefix", "subsets"])
+def test_jaccard_awkward(spark, keys):
+    rows = ngram_join.jaccard_components(awkward(spark), keys=keys).collect()
     got = collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in rows)
     assert got == collections.Counter([(1, 0, 1), (2, 0, 2), (3, 1, 3), (3, 1, 3), (None, 1, None), (4, 29_996, 4), (5, 0, 5), (6, 1, 6)])
-    assert ngram_join.jaccard_components(awkward(spark).where("false")).count() == 0
-    kept = ngram_join.drop_near_duplicates(awkward(spark))
+    assert ngram_join.jaccard_components(awkward(spark).where("false"), keys=keys).count() == 0
+    kept = ngram_join.drop_near_duplicates(awkward(spark), keys=keys)
     assert sorted((r.doc_id is None, r.doc_id) for r in kept.collect()) == [(False, i) for i in range(1, 7)] + [(True, None)]
 
 
+def test_near_duplicates_are_rows(spark):
+    """Repeated and null ids: unrelated texts stay, copies go, whatever their ids."""
+    long = " ".join(WORDS)
+    rows = [(1, long), (2, long + " more"), (2, "quite another text of seven words here"), (None, long), (None, "null id and a text of its own"), (None, "null id and a text of its own"), (3, None), (3, None), (None, None)]
+    docs = frame(spark, [(i, t, None, None) for i, t in rows]).withColumnRenamed("lang", "mark")
+    kept = ngram_join.drop_near_duplicates(docs)
+    assert kept.columns == docs.columns
+    want = [(1, long), (2, "quite another text of seven words here"), (None, "null id and a text of its own"), (3, None), (3, None), (None, None)]
+    assert sorted(map(str, ((r.doc_id, r.text) for r in kept.collect()))) == sorted(map(str, want))
+    assert {r.score for r in kept.collect()} == {0.5}
+
+
+@pytest.mark.parametrize(("num", "den"), [(90, 100), (80, 100), (60, 100)])
+def test_partners_share_a_class(num, den):
+    """Two sets at the threshold share a key, however the rest is dealt."""
+    rng = np.random.default_rng(4)
+    classes = ngram_join.Classes(num, den)
+    for n in [*range(2, 60), 100, 257, 1000]:
+        for _ in range(20):
+            a = rng.integers(0, 2**63, n, dtype=np.uint64)
+            gone = rng.integers(0, n + 1)
+            new = rng.integers(0, n + 1)
+            while gone + new and (n - gone) * den < num * (n + new):
+                gone, new = max(0, gone - int(rng.integers(0, 2))), max(0, new - 1)
+            b = np.concatenate([a[gone:], rng.integers(0, 2**63, new, dtype=np.uint64)])
+            if gone + new:
+                assert np.intersect1d(classes.keys(np.unique(a)), classes.keys(np.unique(b))).size, (n, gone, new)
+
+
 @given(st.lists(st.text(alphabet="ab \té", max_size=12), max_size=6))
 @settings(max_examples=100, deadline=None)
 def test_word_hashes(parts):
@@ -117,12 +171,13 @@ def test_bitmaps_bound_the_overlap():
         assert apart <= len(np.setxor1d(a, b))
 
 
-@pytest.mark.parametrize("bound", [0, 1_000_000])
-def test_components(spark, monkeypatch, bound):
-    monkeypatch.setattr(common, "TASK_EDGES", bound)
+@pytest.mark.parametrize("held", [4, 1 << 20])
+def test_components(spark, monkeypatch, held):
+    monkeypatch.setattr(common, "HELD_EDGES", held)
     chain = [(i + 1, i) for i in range(40)] + [(100, 101), (7, 7)]
-    got = {r.node: r.root for r in components(spark.createDataFrame(chain, "a bigint, b bigint")).collect()}
+    got = {r.node: r.root for r in components(spark.createDataFrame(chain, "a bigint, b bigint").repartition(5)).collect()}
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
+    assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
 
 
 def mix_rows(n=400):
