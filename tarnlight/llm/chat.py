@@ -1,9 +1,10 @@
 """Chat formatting by schema fingerprinting.
 
-A record's layout is the set of its nested field paths. Their hash selects a
-declarative mapping (where the turns are, which fields hold role and text, what
-roles are called), which turns prompt, instruction and message layouts into the
-same canonical turns. Turns are rendered as
+A record's layout is the set of its nested field paths, of which those that some
+mapping reads are hashed; ids, names, dates and other fields beside them change
+nothing. The hash selects a declarative mapping (where the turns are, which fields
+hold role and text, what roles are called), which turns prompt, instruction and
+message layouts into the same canonical turns. Turns are rendered as
 
     <|start|>role<|message|>text<|end|>
 
@@ -86,12 +87,22 @@ def fingerprint(paths: Iterable[str]) -> str:
 
 
 MAPPINGS = {fingerprint(m.paths): m for m in _mappings()}
+#: Paths that a mapping reads.
+READ = frozenset().union(*(m.paths for m in MAPPINGS.values()))
+
+
+def select_mapping(record: dict) -> tuple[str, Mapping | None]:
+    """Fingerprint of the paths that mappings read, and the mapping of that layout. Where a message lacks a field, or
+    a record has fields of several layouts, it is the first mapping all of whose paths are there."""
+    paths = field_paths(record) & READ
+    mark = fingerprint(paths)
+    return mark, MAPPINGS.get(mark) or next((m for m in sorted(MAPPINGS.values(), key=lambda m: -len(m.paths)) if m.paths <= paths), None)
 
 
 def canonical_turns(record: dict, mapping: Mapping) -> list[tuple[str, str]]:
     said = lambda x: "" if x is None else x if isinstance(x, str) else json.dumps(x, ensure_ascii=False)
     if mapping.turns:
-        rows = [(said(m.get(mapping.role)), said(m.get(mapping.text))) for m in record[mapping.turns]]
+        rows = [(said(m.get(mapping.role)), said(m.get(mapping.text))) for m in record[mapping.turns] if isinstance(m, dict)]
     else:
         rows = [(role, "\n".join(x for p in paths if (x := said(record.get(p))))) for role, paths in mapping.fixed]
         rows = [r for r in rows if r[0] != "system" or r[1]]
@@ -120,10 +131,9 @@ def _format(batches):
         for text in batch.column(1).to_pylist():
             try:
                 record = json.loads(text) if text is not None else None
-            except ValueError:
-                record = None
-            mark = fingerprint(field_paths(record)) if isinstance(record, dict) else None
-            mapping = MAPPINGS.get(mark)
+                mark, mapping = select_mapping(record) if isinstance(record, dict) else (None, None)
+            except (ValueError, RecursionError):
+                mark = mapping = None
             done = render(canonical_turns(record, mapping)) if mapping else (None, None)
             marks.append(mark)
             strings.append(done[0])
@@ -134,7 +144,11 @@ def _format(batches):
 def format_records(records: DataFrame, id_col: str, json_col: str = "record") -> DataFrame:
     """id, layout (fingerprint), formatted, loss (starts and ends of what is learnt) of each JSON record.
 
-    Null, malformed and unmapped records keep their row; formatted and loss are null.
+    Null, malformed (also too deeply nested) and unmapped records keep their row;
+    formatted and loss are null. Fields that no mapping reads are left out. Empty
+    and missing texts are empty; very long ones stay whole. Rows repeated with one
+    id get a row each, in no order; an empty table gives an empty result; other
+    columns are ignored.
     """
     rows = records.select(F.col(id_col).alias("id"), F.col(json_col).alias("record"))
     kind = rows.schema["id"].dataType.simpleString()

@@ -138,6 +138,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    """A list column of one array a row, without going through its items."""
+    values = np.concatenate(arrays) if arrays else np.empty(0, np.int64)
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, arrays)]), pa.int32()), pa.array(values))
+
+
 def grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
     """Runs of equal ``key`` from batches sorted by it; runs may cross batches."""
     held: list[pa.RecordBatch] = []
@@ -161,7 +167,7 @@ def grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
 HELD_EDGES = 1 << 20
 
 
-def _stars(held: list[np.ndarray]) -> pa.RecordBatch:
+def stars(held: list[np.ndarray]) -> pa.RecordBatch:
     """Edges from each node to the smallest of its component among the held edges, by hooking and pointer jumping."""
     ends = np.concatenate(held, axis=1)
     nodes, at = np.unique(ends, return_inverse=True)
@@ -185,10 +191,10 @@ def _thinned(batches):
             held.append(np.stack([b.column(i).to_numpy() for i in (0, 1)]))
             n += b.num_rows
         if n >= HELD_EDGES:
-            yield _stars(held)
+            yield stars(held)
             held, n = [], 0
     if held:
-        yield _stars(held)
+        yield stars(held)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -226,6 +232,15 @@ def components(edges: DataFrame) -> DataFrame:
     )
 
 
+def numbered(df: DataFrame, count: str, index: str) -> DataFrame:
+    """Each row ``count`` times, numbered from 0 in ``index``; in steps, so that no long array is made."""
+    step = 1 << 16
+    n, block = F.col(count).cast("bigint"), fresh(df, "block")
+    rows = df.where(n > 0).withColumn(block, F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((n - 1) / step))))
+    last = F.least(F.lit(step - 1).cast("bigint"), n - 1 - F.col(block) * step)
+    return rows.withColumn(index, F.explode(F.sequence(F.lit(0).cast("bigint"), last))).withColumn(index, F.col(index) + F.col(block) * step).drop(block)
+
+
 def written(df: DataFrame, name: str) -> tuple[DataFrame, Callable[[], None]]:
     """``df`` as a Parquet table in the shared checkpoint folder, and what removes the table."""
     spark = prepare(df.sparkSession)

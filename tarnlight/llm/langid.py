@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Shared, map_batches, prepare, table
+from .common import Shared, cut, fresh, lists, map_batches, prepare, small, table
 
 FEATURES = 1 << 16
 ORDERS = (1, 2, 3)
@@ -81,7 +81,7 @@ def _profiles(batches):
             slots.append(own.astype(np.int32))
             counts.append(total[own].astype(np.float32))
         if slots:
-            yield pa.record_batch([batch.column(0), pa.array(slots, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.float32())), batch.column(2)], names=["lang", "slots", "counts", "h"])
+            yield pa.record_batch([batch.column(0), lists(slots), lists(counts), batch.column(2)], names=["lang", "slots", "counts", "h"])
 
 
 @dataclass
@@ -162,25 +162,25 @@ def fit_language_model(docs: DataFrame, text_col: str = "text", label_col: str =
     """Learn from the rows of ``docs`` with a label that is not null and a text with a letter.
 
     Document frequencies cover all of them; the weights a sample of about
-    ``per_label`` documents a label. No such rows: a model that says ``und``.
+    ``per_label`` documents a label, picked by a hash of id and text, so null or
+    repeated ids do no harm. Rows repeated count each; very long texts count whole.
+    No such rows: a model that says ``und``. Other columns are ignored.
     """
     prepare(docs.sparkSession)
-    learn = docs.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull())
+    learn = docs.where(F.col(label_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
     counted = map_batches(learn.select(text_col), _document_counts, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow().to_pandas()
     n_docs = int(counted.loc[counted["slot"] < 0, "n"].sum())
     counted = counted[counted["slot"] >= 0]
     idf = np.zeros(FEATURES)
     idf[counted["slot"].to_numpy(np.int64)] = np.log1p(n_docs / counted["n"].to_numpy(np.float64))
 
-    sizes = {r[0]: r[1] for r in learn.groupBy(label_col).count().collect()}  # one row a label
-    labels = sorted(sizes)
+    sizes = cut(learn.groupBy(F.col(label_col).alias("own")).agg(F.count("*").alias("n")))  # one row a label
+    labels = sorted(r["own"] for r in sizes.select("own").collect())
     if not labels or not n_docs:
         return LanguageModel([], np.zeros((FEATURES, 0), np.float32), np.zeros(0), 1.0)
-    place = F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(1_000_000))
-    share = F.lit(0)
-    for label, n in sizes.items():
-        share = F.when(F.col(label_col) == label, min(1_000_000, -(-per_label * 1_000_000 // n))).otherwise(share)
-    sample = learn.select(F.col(label_col).cast("string").alias("lang"), F.col(text_col).alias("text"), place.alias("h"), share.alias("share")).where("h < share")
+    place = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.col(text_col), F.lit(seed)), F.lit(1_000_000))
+    share = sizes.select("own", F.ceil(F.lit(per_label * 1_000_000) / F.col("n")).alias("share"))
+    sample = learn.join(small(share), F.col(label_col) == F.col("own")).select(F.col("own").cast("string").alias("lang"), F.col(text_col).alias("text"), place.alias("h"), "share").where("h < share")
     rows = map_batches(sample.select("lang", "text", "h"), _profiles, "lang string, slots array<int>, counts array<float>, h bigint").toArrow().to_pandas()
     return fit_profiles(rows, labels, idf, epochs, seed)
 
@@ -206,23 +206,24 @@ def fit_profiles(rows: pd.DataFrame, labels: list[str], idf: np.ndarray, epochs:
     return LanguageModel([str(x) for x in labels], (idf[:, None] * w[:-1]).astype(np.float32), w[-1], heat)
 
 
-def _predict(model, kept: int, at: int) -> Callable:
+def _predict(model, kept: int, at: int, names: list[str]) -> Callable:
     def run(batches):
         own = model.value
         for batch in batches:
             said = [own.predict(t) for t in batch.column(at).to_pylist()]
-            yield pa.record_batch([*batch.columns[:kept], pa.array([x for x, _ in said], pa.string()), pa.array([p for _, p in said], pa.float64())], names=[*batch.schema.names[:kept], "lang_pred", "score"])
+            yield pa.record_batch([*batch.columns[:kept], pa.array([x for x, _ in said], pa.string()), pa.array([p for _, p in said], pa.float64())], names=names)
 
     return run
 
 
-def predict_language(docs: DataFrame, model: LanguageModel, keep: list[str], text_col: str = "text") -> DataFrame:
-    """``keep`` columns of each row, lang_pred and score (0 to 1). Null texts and texts without a letter: ``und``, 0."""
+def predict_language(docs: DataFrame, model: LanguageModel, keep: list[str], text_col: str = "text", out: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``keep`` columns of each row and the two of ``out``, which must not be among them: the language and its
+    probability. Null texts and texts without a letter: ``und``, 0. Very long texts are read whole."""
     sent = Shared(docs.sparkSession, model)
-    rows = docs.select(*keep, *([] if text_col in keep else [F.col(text_col).alias("_text")]))
+    rows = docs.select(*keep, *([] if text_col in keep else [F.col(text_col).alias(fresh(docs, "text"))]))
     at = keep.index(text_col) if text_col in keep else len(keep)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keep).schema)
-    return map_batches(rows, _predict(sent, len(keep), at), f"{schema}, lang_pred string, score double")
+    return map_batches(rows, _predict(sent, len(keep), at, [*keep, *out]), f"{schema}, `{out[0]}` string, `{out[1]}` double")
 
 
 def crc_mod(id_col: str, n: int):
@@ -231,16 +232,18 @@ def crc_mod(id_col: str, n: int):
 
 
 def keep_known_languages(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """Rows of ``docs`` (columns kept) whose language is recognised with a probability of ``least`` or more.
+    """Rows of ``docs`` whose language is recognised with a probability of ``least`` or more.
 
-    The model learns from the rows' own labels, all but a quarter.
+    The model learns from the rows' own labels, all but a quarter; without any
+    label all rows stay. Null texts and texts without a letter go. All columns are
+    kept, with their own values even if one is called score.
     """
     model = fit_language_model(docs.where(crc_mod("doc_id", 4) != 2))
     if not model.labels:
         return docs
-    columns = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    said = predict_language(docs, model, columns)
-    return said.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*docs.columns)
+    out = (fresh(docs, "lang_pred"), fresh(docs, "score"))
+    said = predict_language(docs, model, docs.columns, out=out)
+    return said.where((F.col(out[0]) != UNKNOWN) & (F.col(out[1]) >= least)).select(*docs.columns)
 
 
 def op1_language_id(spark, sf_dir: str) -> DataFrame:

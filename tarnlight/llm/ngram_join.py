@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NOT_SPACE, WordHashes, components, cut, fresh, grouped, long_batches, map_batches, mix, small, table, written
+from .common import NOT_SPACE, WordHashes, components, cut, fresh, grouped, lists, long_batches, map_batches, mix, small, table, written
 
 SLOTS = 1 << 20
 #: Bits of the filter that picks texts to shingle again: so many an id, at most FILTER_BITS (64 MB). A denser filter
@@ -202,7 +202,7 @@ def _profiles(words: int, num: int, den: int, sketch) -> Callable:
                 sizes.append(n)
                 if node is None or node in seen:
                     maps.append(None)
-                    keys.append(None)
+                    keys.append(np.empty(0, np.int64))
                     continue
                 if len(seen) >= SEEN:
                     seen.clear()
@@ -216,7 +216,7 @@ def _profiles(words: int, num: int, den: int, sketch) -> Callable:
                 maps.append(bitmap(s))
                 keys.append(own.view(np.int64))
             yield pa.record_batch(
-                [*batch.columns[:1], *batch.columns[2:], pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(maps, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                [*batch.columns[:1], *batch.columns[2:], pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(maps, pa.binary()), lists(keys)],
                 names=["id", "mark", "node", "n", "bits", "keys"],
             )
 
@@ -433,23 +433,31 @@ def _linked(src: DataFrame, words: int, num: int, den: int, keys: str) -> DataFr
         marks.destroy()
         return links
 
-    def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-        """Pairs whose nodes are in different components."""
+    def rooted(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+        """Pairs with the roots of their nodes, ra and rb."""
         x, y = (roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")) for c in "ab")
         both = pairs.join(x, "a", "left").join(y, "b", "left")
-        return both.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
+        return both.select("a", "b", F.coalesce("ra", "a").alias("ra"), F.coalesce("rb", "b").alias("rb"))
+
+    def grown(roots: DataFrame, pairs: DataFrame) -> DataFrame:
+        """Roots once the pairs that link are joined; only components are joined, not their nodes."""
+        links = verified(pairs)
+        if links.isEmpty():
+            return roots
+        top = cut(components(rooted(links, roots).select(F.col("ra").alias("a"), F.col("rb").alias("b"))))
+        moved = roots.join(top.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left")
+        new = top.join(roots.select("node"), "node", "left_anti")
+        return cut(moved.select("node", F.coalesce("to", "root").alias("root")).unionAll(new))
 
     first = held.select(F.col("lo").alias("a"), F.col("node").alias("b")).unionAll(
         held.where("node <> hi").select(F.col("node").alias("a"), F.col("hi").alias("b"))
     )
     first = cut(bounded(first.distinct()))
     # One partner for each node first: it connects most, so that few pairs are left to intersect.
-    links = verified(first.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
-    roots = cut(components(links))
-    rest = cut(apart(first, roots))
+    roots = cut(components(verified(first.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))))
+    rest = cut(rooted(first, roots).where("ra <> rb").select("a", "b"))
     if not rest.isEmpty():
-        links = links.unionAll(verified(rest))
-        roots = cut(components(links))
+        roots = grown(roots, rest)
 
     # Tiles of three or more nodes that are not yet one component.
     inner = held.where("node <> hi")
@@ -460,11 +468,11 @@ def _linked(src: DataFrame, words: int, num: int, den: int, keys: str) -> DataFr
 
     def still_open(roots: DataFrame) -> DataFrame:
         """Members of tiles that hold several components, with the tile's largest one and its block counts."""
-        rooted = many.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        shares = rooted.groupBy("key", "root").agg(F.count("*").alias("c"))
+        own = many.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        shares = own.groupBy("key", "root").agg(F.count("*").alias("c"))
         open_keys = shares.groupBy("key").agg(F.sum("c").alias("m"), F.max_by("root", F.struct("c", "root")).alias("big"), F.max("c").alias("c"), F.count("*").alias("k")).where("k > 1")
         open_keys = open_keys.select("key", "big", F.ceil(F.col("m") / BLOCK).cast("int").alias("nb"), F.ceil((F.col("m") - F.col("c")) / BLOCK).cast("int").alias("nc"))
-        return rooted.join(open_keys, "key")
+        return own.join(open_keys, "key")
 
     def met(tiles: DataFrame, width: int) -> DataFrame:
         tiles = tiles.withColumn("tile", F.xxhash64("key", "block", "chunk")).repartition(F.col("tile")).sortWithinPartitions("tile")
@@ -477,8 +485,7 @@ def _linked(src: DataFrame, words: int, num: int, den: int, keys: str) -> DataFr
         found = met(some.select(*cols, spot("nb").alias("block"), F.lit(0).alias("chunk"), F.lit(0).alias("probe")), 1)
         if found.isEmpty():
             break
-        links = links.unionAll(verified(found.select("a", "b")))
-        roots = cut(components(links))
+        roots = grown(roots, found.select("a", "b"))
 
     # What is still apart is compared in full, closest partners first.
     tested, width, left = None, WIDTH, True
@@ -492,10 +499,9 @@ def _linked(src: DataFrame, words: int, num: int, den: int, keys: str) -> DataFr
         if tested is not None:
             new = cut(new.join(tested, ["a", "b"], "left_anti"))
         if not new.isEmpty():
-            links = links.unionAll(verified(new))
-            roots = cut(components(links))
+            roots = grown(roots, new)
             tested = new if tested is None else tested.unionAll(new)
-        width *= 8
+        width *= 32
 
     smallest = member.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("id"))
     at = smallest.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))

@@ -6,10 +6,13 @@ and each pair of pivots among a vector's first ``KEYED``, the vectors that have
 that pair; two vectors of a list that share at least ``SHARED`` of their first
 ``LISTED`` pivots are candidates, and the cosine in double precision decides.
 
+There are more pivots for more vectors (twice the square root, up to
+``MOST_PIVOTS``), so lists, of which there are as many as pairs of pivots, stay short.
+
 Equal vectors of a group are one entry with a count. Lists meet in tiles of
-bounded size. A link is counted in the first list its two vectors share, so no
-pair is sent anywhere: a tile gives the links of each vector and a spanning
-forest of them.
+bounded size, worked through in slices. A link is counted in the first list its
+two vectors share, so no pair is sent anywhere: a tile gives the links of each
+vector and a spanning forest of them.
 """
 
 from __future__ import annotations
@@ -21,15 +24,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, grouped, map_batches, prepare, table
+from .common import components, cut, grouped, lists, map_batches, prepare, stars, table
 from .vectors import cosines, matrix, unit, usable
 
-#: Bound of the pivot sample.
-PIVOTS = 256
+#: Bounds of the pivots; about four times as many vectors are sampled for them.
+PIVOTS, MOST_PIVOTS = 256, 4096
 LISTED, KEYED, SHARED = 8, 4, 3
 #: Cosine above which two sampled points do not both become pivots.
 APART = 0.8
 BLOCK = 2048
+#: Rows of a tile compared with the others at a time, and numbers of vectors held for the exact measure.
+SLICE, NUMBERS = 128, 1 << 22
 
 
 def spread_out(points: np.ndarray, most: int) -> np.ndarray:
@@ -55,29 +60,43 @@ def _described(pivots) -> Callable:
             first = np.sort(near[:, :KEYED], axis=1)
             m = first.shape[1]
             pairs = [(i, j) for i in range(m) for j in range(i + 1, m)] or [(0, 0)]
-            keys = np.sort(np.stack([first[:, i] * PIVOTS + first[:, j] for i, j in pairs], 1), axis=1)
-            yield pa.record_batch([*batch.columns, pa.array(list(near.astype(np.int32)), pa.list_(pa.int32())), pa.array(list(keys.astype(np.int32)), pa.list_(pa.int32()))], names=[*batch.schema.names, "near", "keys"])
+            keys = np.sort(np.stack([first[:, i] * len(own) + first[:, j] for i, j in pairs], 1), axis=1)
+            yield pa.record_batch([*batch.columns, lists(list(near.astype(np.int32))), lists(list(keys.astype(np.int32)))], names=[*batch.schema.names, "near", "keys"])
 
     return run
 
 
-def _forest(a: np.ndarray, b: np.ndarray) -> list[int]:
-    """Positions of pairs that join two trees; the rest are implied."""
-    parent: dict[int, int] = {}
+def _marks(near: np.ndarray) -> np.ndarray:
+    """A bit for each pivot a vector lists, 64 a word."""
+    out = np.zeros((len(near), int(near.max(initial=0)) // 64 + 1), np.uint64)
+    for column in near.astype(np.int64).T:
+        out[np.arange(len(near)), column // 64] |= np.uint64(1) << (column % 64).astype(np.uint64)
+    return out
 
-    def top(x: int) -> int:
-        while parent.get(x, x) != x:
-            parent[x] = parent.get(parent[x], parent[x])
-            x = parent[x]
-        return x
 
-    keep = []
-    for i, (x, y) in enumerate(zip(a.tolist(), b.tolist())):
-        x, y = top(x), top(y)
-        if x != y:
-            parent[max(x, y)] = min(x, y)
-            keep.append(i)
-    return keep
+def _links(x, near, keys, p: np.ndarray, q: np.ndarray, key: int, least: float, above: np.ndarray | None):
+    """Linked pairs of rows p and q whose first common list is ``key``; above: of one block with itself, only pairs in order."""
+    bits = _marks(near)
+    for i in range(0, len(p), SLICE):
+        own = p[i : i + SLICE]
+        shared = np.zeros((len(own), len(q)), np.uint8)
+        for w in range(bits.shape[1]):
+            shared += np.bitwise_count(bits[own, w][:, None] & bits[q, w][None, :])
+        ok = shared >= min(SHARED, near.shape[1])
+        if above is not None:
+            ok &= above[own][:, None] < above[q][None, :]
+        a, b = (v[k] for v, k in zip((own, q), np.nonzero(ok)))
+        step = max(1, NUMBERS // x.shape[1])
+        for j in range(0, len(a), step):
+            c, d = a[j : j + step], b[j : j + step]
+            first = np.full(len(c), np.iinfo(np.int64).max)
+            for column in keys.T:  # the first list that both are in counts the pair
+                both = (keys[d] == column[c][:, None]).any(1)
+                first = np.where(both, np.minimum(first, column[c].astype(np.int64)), first)
+            c, d = c[first == key], d[first == key]
+            linked = cosines(x[c], x[d]) >= least
+            if linked.any():
+                yield c[linked], d[linked]
 
 
 def _link_tiles(least: float) -> Callable:
@@ -86,62 +105,51 @@ def _link_tiles(least: float) -> Callable:
             where = np.stack([tile.column(c).to_numpy() for c in ("group", "key", "i", "j")], 1)
             block, node, copies = (tile.column(c).to_numpy() for c in ("block", "node", "copies"))
             x, near, keys = (matrix(tile.column(c)) for c in ("vec", "near", "keys"))
-            for spot in np.unique(where, axis=0):
+            for spot in np.unique(where, axis=0):  # different tiles may share a hash
                 here = np.flatnonzero((where == spot).all(1))
                 same = spot[2] == spot[3]
                 p, q = here[block[here] == spot[2]], here[block[here] == spot[3]]
                 if not len(p) or not len(q) or same and len(p) < 2:
                     continue
-                shared = _marks(near[p]) @ _marks(near[q]).T
-                ok = (shared >= min(SHARED, near.shape[1])) & (unit(x[p]) @ unit(x[q]).T >= least - 1e-9)
-                if same:
-                    ok &= node[p][:, None] < node[q][None, :]
-                a, b = (v[i] for v, i in zip((p, q), np.nonzero(ok)))
-                if not len(a):
-                    continue
-                # The first list that both are in counts the pair.
-                both = (keys[a][:, :, None] == keys[b][:, None, :]).any(2)
-                first = np.where(both, keys[a], np.inf).min(1) == spot[1]
-                a, b = a[first], b[first]
-                linked = cosines(x[a], x[b]) >= least
-                a, b = a[linked], b[linked]
-                if not len(a):
-                    continue
-                nodes, at = np.unique(np.concatenate([node[a], node[b]]), return_inverse=True)
-                links = np.bincount(at, weights=np.concatenate([copies[b], copies[a]]).astype(np.float64)).astype(np.int64)
-                tree = _forest(node[a], node[b])
-                empty = [None] * len(nodes)
-                yield pa.record_batch([pa.array(nodes, pa.int64()), pa.array(empty, pa.int64()), pa.array(links, pa.int64())], names=["a", "b", "links"])
-                yield pa.record_batch([pa.array(node[a][tree], pa.int64()), pa.array(node[b][tree], pa.int64()), pa.array(np.zeros(len(tree), np.int64))], names=["a", "b", "links"])
+                links, forest = np.zeros(len(node), np.int64), []
+                for a, b in _links(x, near, keys, p, q, int(spot[1]), least, node if same else None):
+                    np.add.at(links, a, copies[b])
+                    np.add.at(links, b, copies[a])
+                    forest.append(np.stack([node[a], node[b]]))
+                    if len(forest) > 8:
+                        forest = [_ends(forest)]
+                if forest:
+                    some, ends = np.flatnonzero(links), _ends(forest)
+                    yield pa.record_batch([pa.array(node[some], pa.int64()), pa.array([None] * len(some), pa.int64()), pa.array(links[some], pa.int64())], names=["a", "b", "links"])
+                    yield pa.record_batch([pa.array(ends[0], pa.int64()), pa.array(ends[1], pa.int64()), pa.array(np.zeros(ends.shape[1], np.int64))], names=["a", "b", "links"])
 
     return run
 
 
-def _marks(near: np.ndarray) -> np.ndarray:
-    """Rows of 0 and 1 over the pivots."""
-    out = np.zeros((len(near), PIVOTS), np.float32)
-    np.put_along_axis(out, near.astype(np.int64), 1.0, axis=1)
-    return out
+def _ends(forest: list[np.ndarray]) -> np.ndarray:
+    made = stars(forest)
+    return np.stack([made.column(i).to_numpy() for i in (0, 1)])
 
 
-def near_duplicates(rows: DataFrame, least: float = 0.98, id_col: str = "vec_id", vec_col: str = "embedding", group_col: str = "label", pivots: int = PIVOTS, seed: int = 13) -> DataFrame:
+def near_duplicates(rows: DataFrame, least: float = 0.98, id_col: str = "vec_id", vec_col: str = "embedding", group_col: str = "label", pivots: int | None = None, seed: int = 13) -> DataFrame:
     """One row per row of ``rows``: id, n_links, component_id, kept (id = component_id).
 
     Vectors link inside their group at a cosine of ``least`` or more. Rows whose
-    group is null, and vectors that are null, zero, or hold null or non-finite
-    components, link with nothing. Equal vectors of a group link with each
-    other. All vectors have one length. Rows with a null id give a row with null
-    component and kept false unless a smaller id is linked.
+    group is null, and vectors that are null, zero, hold null or non-finite
+    components, or have another length than most, link with nothing. Equal
+    vectors of a group link with each other. Rows with a null id give a row with
+    null component and kept false unless a smaller id is linked; rows repeated
+    with one id get a row each. An empty table gives an empty result; other
+    columns are ignored.
     """
     spark = prepare(rows.sparkSession)
-    if pivots > PIVOTS:
-        raise ValueError(f"at most {PIVOTS} pivots")
     src = rows.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).alias("vec"), F.col(group_col).alias("g"))
     good = usable(src.where(F.col("g").isNotNull()), "vec")
     entries = good.groupBy("g", "vec").agg(F.min("id").alias("id"), F.count("*").alias("copies"))
     # Equal vectors may stand in two groups under one id: the node is the hash of both.
     entries = cut(entries.withColumn("node", F.xxhash64("g", "vec")).withColumn("group", F.xxhash64("g")))
     n = entries.count()
+    pivots = pivots or min(MOST_PIVOTS, max(PIVOTS, 2 * int(n**0.5)))
     sample = entries.where(F.pmod(F.xxhash64("node", F.lit(seed)), F.lit(10_000_000)) < max(1, 4 * pivots * 10_000_000 // max(1, n))).select("node", "vec").toArrow().sort_by("node") if n else None
     if sample is None or not sample.num_rows:
         sample = entries.select("node", "vec").limit(pivots).toArrow().sort_by("node") if n else None

@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 
 
 def usable(df: DataFrame, vec_col: str) -> DataFrame:
-    """Rows whose vector is not null, not zero, and holds only finite components."""
+    """Rows whose vector is not null, not zero, holds only finite components and is as long as most of them are (of
+    two lengths equally frequent, the longer)."""
     bad = F.exists(vec_col, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     zero = F.forall(vec_col, lambda x: x == 0)
-    return df.where(F.col(vec_col).isNotNull() & ~F.coalesce(bad, F.lit(True)) & ~F.coalesce(zero, F.lit(True)))
+    good = df.where(F.col(vec_col).isNotNull() & ~F.coalesce(bad, F.lit(True)) & ~F.coalesce(zero, F.lit(True)))
+    most = good.groupBy(F.size(vec_col).alias("dims")).count().agg(F.max_by("dims", F.struct("count", "dims"))).first()[0]
+    return good.where(F.size(vec_col) == (most or 0))
 
 
 def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -23,12 +26,18 @@ def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(column), -1)
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times a power of two that brings their largest component near 1: exact, and squares neither vanish nor overflow."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1]) if len(x) else x
+
+
 def unit(x: np.ndarray) -> np.ndarray:
-    """Rows divided by their length, after scaling, so that very small and large ones neither vanish nor overflow."""
-    x = x / np.abs(x).max(1, keepdims=True)
-    return x / np.sqrt((x * x).sum(1, keepdims=True))
+    """Rows divided by their length."""
+    x = scaled(x)
+    return x / np.sqrt((x * x).sum(1, keepdims=True)) if len(x) else x
 
 
 def cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Cosine of row i of x and row i of y."""
+    x, y = scaled(x), scaled(y)
     return (x * y).sum(1) / (np.sqrt((x * x).sum(1)) * np.sqrt((y * y).sum(1)))
