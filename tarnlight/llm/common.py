@@ -197,19 +197,27 @@ def _thinned(batches):
         yield stars(held)
 
 
+#: Edges dealt to a task in the second thinning.
+TASK_EDGES = 1 << 15
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of ``edges`` (a, b); root is the smallest node reachable.
 
-    Each task first replaces its share of the edges by stars that say the same, so
-    at most one edge a node and task is left. Alternating large-star and
-    small-star steps do the rest: each is an aggregation with a map-side combine
-    and an equi-join on the node, so a hub's neighbours are never gathered into
-    one row, and nothing but the end is told to the driver.
+    Each task first replaces its share of the edges by stars that say the same; what
+    is left, at most one edge a node and task, is dealt to tasks of about TASK_EDGES
+    edges and thinned again. Alternating large-star and small-star steps do the
+    rest: each is an aggregation with a map-side combine and an equi-join on the
+    node, so a hub's neighbours are never gathered into one row, and nothing but
+    the end is told to the driver.
     """
     every = edges.where("a <> b").select("a", "b")
     with long_batches(edges.sparkSession):
         pairs = cut(map_batches(every, _thinned, "u bigint, v bigint").distinct())
-    while True:
+        tasks = max(1, -(-pairs.count() // TASK_EDGES))
+        pairs = cut(map_batches(pairs.coalesce(tasks), _thinned, "u bigint, v bigint"))
+    one = pairs.rdd.getNumPartitions() == 1  # what one task has thinned is done
+    while not one:
         # A forest of stars: no end points on, and none has two roots.
         on = pairs.join(pairs.select(F.col("u").alias("v")), "v", "left_semi").select("v")
         if on.unionAll(pairs.groupBy("u").count().where("count > 1").select("u")).isEmpty():

@@ -433,29 +433,30 @@ def _linked(src: DataFrame, words: int, num: int, den: int, keys: str) -> DataFr
         marks.destroy()
         return links
 
-    def rooted(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-        """Pairs with the roots of their nodes, ra and rb."""
+    def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+        """Pairs whose nodes are in different components."""
         x, y = (roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")) for c in "ab")
         both = pairs.join(x, "a", "left").join(y, "b", "left")
-        return both.select("a", "b", F.coalesce("ra", "a").alias("ra"), F.coalesce("rb", "b").alias("rb"))
+        return both.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
 
-    def grown(roots: DataFrame, pairs: DataFrame) -> DataFrame:
-        """Roots once the pairs that link are joined; only components are joined, not their nodes."""
-        links = verified(pairs)
-        if links.isEmpty():
+    links = None
+
+    def grown(roots: DataFrame | None, pairs: DataFrame) -> DataFrame:
+        """Roots once the pairs that link are joined."""
+        nonlocal links
+        more = verified(pairs)
+        if roots is not None and more.isEmpty():
             return roots
-        top = cut(components(rooted(links, roots).select(F.col("ra").alias("a"), F.col("rb").alias("b"))))
-        moved = roots.join(top.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left")
-        new = top.join(roots.select("node"), "node", "left_anti")
-        return cut(moved.select("node", F.coalesce("to", "root").alias("root")).unionAll(new))
+        links = more if links is None else links.unionAll(more)
+        return cut(components(links))
 
     first = held.select(F.col("lo").alias("a"), F.col("node").alias("b")).unionAll(
         held.where("node <> hi").select(F.col("node").alias("a"), F.col("hi").alias("b"))
     )
     first = cut(bounded(first.distinct()))
     # One partner for each node first: it connects most, so that few pairs are left to intersect.
-    roots = cut(components(verified(first.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))))
-    rest = cut(rooted(first, roots).where("ra <> rb").select("a", "b"))
+    roots = grown(None, first.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+    rest = cut(apart(first, roots))
     if not rest.isEmpty():
         roots = grown(roots, rest)
 

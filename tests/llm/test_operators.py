@@ -174,6 +174,7 @@ def test_bitmaps_bound_the_overlap():
 @pytest.mark.parametrize("held", [4, 1 << 20])
 def test_components(spark, monkeypatch, held):
     monkeypatch.setattr(common, "HELD_EDGES", held)
+    monkeypatch.setattr(common, "TASK_EDGES", held)
     chain = [(i + 1, i) for i in range(40)] + [(100, 101), (7, 7)]
     got = {r.node: r.root for r in components(spark.createDataFrame(chain, "a bigint, b bigint").repartition(5)).collect()}
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
