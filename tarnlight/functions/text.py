@@ -188,14 +188,19 @@ def chunk_type(heading: Column, body: Column, kind: Column) -> Column:
     return out.otherwise("prose")
 
 
+# Words of programs that are no symbols.
+KEYWORDS = ("const", "function", "return", "import", "export", "class", "true", "false")
+
+
 def code_symbols(text: Column, most: int = 24) -> Column:
     """Identifiers of four characters or more that are no keywords, first come first, at most ``most``."""
     # An identifier ends in a word character: signs at its end are not part of it.
     found = F.regexp_extract_all(text, F.lit(rf"(?<![A-Za-z0-9_])([A-Za-z_][A-Za-z0-9_.-]+[A-Za-z0-9_]){EDGE_R}"), 1)
-    keep = F.filter(found, lambda t: (F.length(t) > 3) & ~F.lower(t).isin("const", "function", "return", "import", "export", "class", "true", "false"))
+    keep = F.filter(found, lambda t: (F.length(t) > 3) & ~F.lower(t).isin(*KEYWORDS))
     return F.slice(F.array_distinct(keep), 1, most)
 
 
+# Endings of files that count as references.
 FILE_ENDINGS = "py|ts|tsx|js|mjs|java|yml|yaml|md|json|sh|bat"
 
 
@@ -236,3 +241,37 @@ NUMERIC_INTENT = (
 
 def numeric_intent(text: Column) -> Column:
     return F.coalesce(text, F.lit("")).rlike("|".join(f"(?:{p})" if not p.startswith("(?i)") else f"(?i:{p[4:]})" for p in NUMERIC_INTENT))
+
+
+FENCE = r"(?s)```.*?```"
+
+
+def plain_body(text: Column, blank: str = " ") -> Column:
+    """A Markdown body without fences and heading marks, white space made ``blank``."""
+    bare = F.regexp_replace(F.regexp_replace(text, FENCE, " "), r"(?m)^#+\s+", "")
+    return F.trim(F.regexp_replace(bare, rf"{SPACE}+", blank))
+
+
+def searchable(text: Column) -> Column:
+    """A Markdown body for search: fences inlined with their language, marks to blanks."""
+    inlined = F.regexp_replace(text, r"(?s)```([A-Za-z0-9_]+)?\r?\n(.*?)```", " $1 $2 ")
+    return F.trim(F.regexp_replace(F.regexp_replace(inlined, r"[#>*`|\[\]()]", " "), rf"{SPACE}+", " "))
+
+
+def is_excerpt_again(body: Column, excerpt_text: Column, width: int = 30) -> Column:
+    """Whether an excerpt begins as its body does, in their first ``width`` characters without white space."""
+    own, said = plain_body(body, ""), F.regexp_replace(F.regexp_replace(F.coalesce(excerpt_text, F.lit("")), "…$", ""), rf"{SPACE}+", "")
+    n = F.least(F.lit(width), F.length(own), F.length(said))
+    return F.coalesce((n > 0) & (F.substring(own, F.lit(1), n) == F.substring(said, F.lit(1), n)), F.lit(False))
+
+
+def newest_dated(slugs: Column) -> Column:
+    """Of slugs that begin with a date, the latest (of one date, the first); null if none does."""
+    dated = F.filter(slugs, lambda s: s.rlike(r"^\d{4}-\d{2}-\d{2}"))
+    last = F.array_max(F.transform(dated, lambda s: F.substring(s, 1, 10)))
+    return F.get(F.filter(dated, lambda s: F.substring(s, 1, 10) == last), F.lit(0))
+
+
+def content_hash(*columns: Column) -> Column:
+    """Hash of a document's content: changes with any of the columns, nulls and empty texts told apart."""
+    return F.sha1(F.to_json(F.struct(*[c.cast("string").alias(f"c{i}") for i, c in enumerate(columns)]), {"ignoreNullFields": "false"}))

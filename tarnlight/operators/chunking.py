@@ -179,24 +179,37 @@ def _pack(pdf: pd.DataFrame) -> pd.DataFrame:
 _FENCE = re.compile(r"```(\w*)\r?\n(.*?)```", re.S)
 
 
-def fence_summary(code: str, lang: str) -> str:
-    """One line that stands for a code block: JSON keys, known commands, or its longer words."""
+# What a code block is summed up by, in order: languages (none: any), label, pattern, least length of an
+# item and most items. The first row of its language that finds something, or asks for no item, is taken.
+SUMMARIES = (
+    (("json",), "JSON Payload Keys", r'"([^"]+)"\s*:', 1, 15, False),
+    (("bash", "sh", "cmd", "text"), "Commands", r"(npm run \S+|npm test|npm install|tsc --noEmit|vite build|serve_ai_overlay\.py\s+\S+)", 1, None, True),
+    ((), "Code Keywords", r"([A-Za-z0-9_-]+)", 4, 15, False),
+)
+
+
+def json_keys(code: str) -> list[str] | None:
     import json
 
-    once = lambda xs: list(dict.fromkeys(xs))
+    try:
+        return [str(k) for k in json.loads(code)]
+    except (ValueError, TypeError, RecursionError):
+        return None
+
+
+def fence_summary(code: str, lang: str) -> str:
+    """One line that stands for a code block."""
     code = code.strip()
-    if lang == "json":
-        try:
-            keys = list(json.loads(code))
-        except (ValueError, TypeError):
-            keys = once(re.findall(r'"([^"]+)"\s*:', code))[:15]
-        return f"[JSON Payload Keys: {', '.join(map(str, keys))}]"
-    if lang in ("bash", "sh", "cmd", "text"):
-        ran = once(re.findall(r"(npm run \S+|npm test|npm install|tsc --noEmit|vite build|serve_ai_overlay\.py\s+\S+)", code))
-        if ran:
-            return f"[Commands: {', '.join(ran)}]"
-    words = [w for w in once(re.findall(r"[A-Za-z0-9_-]+", code)) if len(w) > 3][:15]
-    return f"[Code Keywords: {', '.join(words)}]"
+    for languages, label, pattern, least, most, needed in SUMMARIES:
+        if languages and lang not in languages:
+            continue
+        items = json_keys(code) if lang == "json" else None
+        if items is None:
+            found = dict.fromkeys(re.findall(pattern, code))
+            items = [x for x in found if len(x) >= least][:most]
+        if items or not needed:
+            return f"[{label}: {', '.join(items)}]"
+    return ""
 
 
 @F.pandas_udf(T.StringType())

@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import SEARCH_STOP, capped_count, search_text, strings, strip_particle
+from .lexical import small
 
 FLOOR, WEAK_FLOOR, LIMIT = 18, 1, 24
+# Words too general to tell documents apart.
 GENERIC_TERMS = ("알고리즘", "구조", "방식", "문제", "오류", "검색", "처리", "언제", "어디서", "누가", "맞지", "않음")
 
 # Aliases of query words.
@@ -67,7 +69,10 @@ def parsed_queries(queries: DataFrame, query: Column) -> DataFrame:
     """``queries`` with phrase, compact, raw, tokens (stop words out, unless nothing would be left) and groups."""
     q = queries.withColumn("phrase", normal(query)).where("phrase <> ''")
     q = q.withColumn("compact", F.replace("phrase", F.lit(" "), F.lit(""))).withColumn("raw", F.split("phrase", " "))
-    q = q.withColumn("_all", F.array_distinct(F.flatten(F.transform("raw", variants))))
+    # Words in mixed case are looked for in their parts too.
+    mixed = F.filter(F.split(F.coalesce(query, F.lit("")), r"(?U)\s+"), lambda t: split_camel(t) != F.lower(t))
+    parts = F.filter(F.transform(mixed, lambda t: search_text(split_camel(t))), lambda t: t != "")
+    q = q.withColumn("_all", F.array_distinct(F.concat(F.flatten(F.transform("raw", variants)), parts)))
     q = q.withColumn("_kept", F.filter("_all", _useful))
     q = q.withColumn("tokens", F.when(F.size("_kept") > 0, F.col("_kept")).otherwise(F.col("_all"))).drop("_all", "_kept")
     group = lambda t: F.struct(strip_particle(t).alias("original"), F.filter(variants(F.when(strip_particle(t) != "", strip_particle(t)).otherwise(t)), _useful).alias("variants"))
@@ -162,9 +167,11 @@ def best_heading(headings: Column, tokens: Column, phrase: Column) -> Column:
 def search(docs: DataFrame, queries: DataFrame, key: str, order: list[Column], limit: int = LIMIT, include_weak: bool = False, headings: Column | None = None) -> DataFrame:
     """Hits of parsed queries over normalised documents: score, reasons, weak and rank, one a document key.
 
-    The queries are a bounded set and are broadcast to the documents.
+    Any substring of a field may score, so a stated set of queries is compared with
+    all documents: it is broadcast if it is small, which is checked, and else dealt
+    out in blocks that each meet all documents.
     """
-    pairs = scored(docs.crossJoin(F.broadcast(queries)), headings)
+    pairs = scored(docs.crossJoin(small(queries)), headings)
     hits = pairs.where(F.col("score") >= (WEAK_FLOOR if include_weak else FLOOR)).withColumn("weak", F.col("score") < FLOOR)
     first = F.row_number().over(Window.partitionBy("query_id", key).orderBy(*order))
     hits = hits.withColumn("_first", first).where("_first = 1").drop("_first")

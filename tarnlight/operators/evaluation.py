@@ -113,8 +113,106 @@ def nearest_rank(column: str, p: float) -> Column:
     return F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {column})")
 
 
-def floor_rank(df: DataFrame, by: str, column: str, p: float, name: str) -> DataFrame:
-    """(by, name): the value at index floor(p (n - 1)), found by rank, so that no group is gathered in one row."""
-    place = Window.partitionBy(by)
-    ranked = df.where(F.col(column).isNotNull()).select(by, column, (F.row_number().over(place.orderBy(column)) - 1).alias("_i"), F.count("*").over(place).alias("_n"))
-    return ranked.where(F.col("_i") == F.floor(F.lit(p) * (F.col("_n") - 1))).select(by, F.col(column).alias(name))
+def floor_rank(df: DataFrame, by: str, column: str, p: float, name: str, width: float = 0.01) -> DataFrame:
+    """(by, name): the value at index floor(p (n - 1)). Approximate percentiles a little below and above bracket it;
+    what is below is counted, and only the values inside the bracket are ordered."""
+    rows = df.where(F.col(column).isNotNull()).select(by, column)
+    around = F.percentile_approx(column, F.array(F.lit(max(0.0, p - width)), F.lit(min(1.0, p + width))), F.lit(1000))
+    ends = rows.groupBy(by).agg(F.count("*").alias("_n"), around.alias("_e"), F.min(column).alias("_min"), F.max(column).alias("_max"))
+    # The approximation is off by a thousandth of the rows at most; at the ends, and for few rows, the
+    # bracket is open.
+    few = F.col("_n") < 10 / width
+    lo, hi = F.when(few | F.lit(p <= width), F.col("_min")).otherwise(F.col("_e")[0]), F.when(few | F.lit(p >= 1 - width), F.col("_max")).otherwise(F.col("_e")[1])
+    ends = ends.select(F.col(by).alias("_by"), "_n", lo.alias("_lo"), hi.alias("_hi"))
+    from .lexical import small
+
+    marked = rows.join(small(ends), F.col(by).eqNullSafe(F.col("_by")))
+    below = marked.groupBy("_by").agg(F.count_if(F.col(column) < F.col("_lo")).alias("_below"))
+    inside = marked.where(F.col(column).between(F.col("_lo"), F.col("_hi"))).groupBy("_by", "_n", column).agg(F.count("*").alias("_c"))
+    along = Window.partitionBy("_by").orderBy(column).rowsBetween(Window.unboundedPreceding, 0)
+    placed = inside.withColumn("_upto", F.sum("_c").over(along)).join(small(below.withColumnRenamed("_by", "_b2")), F.col("_by").eqNullSafe(F.col("_b2")))
+    index = F.floor(F.lit(p) * (F.col("_n") - 1))
+    first, upto = F.col("_below") + F.col("_upto") - F.col("_c"), F.col("_below") + F.col("_upto")
+    return placed.where((first <= index) & (index < upto)).select(F.col("_by").alias(by), F.col(column).alias(name))
+
+
+def spread(df: DataFrame, column: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, n, min, max, mean, p50, p95) of a column, percentiles by nearest rank; nulls left out."""
+    agg = [F.count(column).alias("n"), F.min(column).alias("min"), F.max(column).alias("max"), F.round(F.avg(column), 6).alias("mean"), nearest_rank(column, 0.5).alias("p50"), nearest_rank(column, 0.95).alias("p95")]
+    return df.groupBy(*by).agg(*agg) if by else df.agg(*agg)
+
+
+def passed(rows: DataFrame, by: str, ok: Column) -> DataFrame:
+    """(by, n, passed, share) of each group of questions, or mode of search; an unknown outcome has not passed."""
+    good = F.count_if(F.coalesce(ok, F.lit(False)))
+    return rows.groupBy(by).agg(F.count("*").alias("n"), good.alias("passed"), F.round(good / F.count("*"), 6).alias("share"))
+
+
+def mean_of(column: Column, inside: Column | None = None) -> Column:
+    """Mean of a metric over all rows, or over those inside; nulls count as 0, no rows give null."""
+    value = F.coalesce(column, F.lit(0.0))
+    return F.round(F.avg(value if inside is None else F.when(inside, value)), 6)
+
+
+def reciprocal_mean(rank: Column, most: int = 10) -> Column:
+    """Mean reciprocal rank within the first ``most``; not found counts as 0."""
+    return F.round(F.avg(F.when(rank <= most, 1 / rank).otherwise(0.0)), 6)
+
+
+def outcome(hit_before: Column, hit_now: Column) -> Column:
+    """What became of a question from one system to the other."""
+    return F.when(hit_now & ~hit_before, "improved").when(hit_before & ~hit_now, "regressed").when(hit_now, "kept").otherwise("missed")
+
+
+def deltas(candidate: DataFrame, base: DataFrame, metrics: tuple[str, ...], on: list[str]) -> DataFrame:
+    """(on, metric, value, base, absolute, relative): differences to a base run; relative is null where the base is 0."""
+    long = lambda df, name: df.select(*on, F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("v")) for m in metrics])).alias("x")).select(*on, "x.metric", F.col("x.v").alias(name))
+    both = long(candidate, "value").join(long(base, "base"), [*on, "metric"])
+    gap = F.col("value") - F.col("base")
+    return both.select(*on, "metric", "value", "base", F.round(gap, 4).alias("absolute"), F.round(F.try_divide(gap, F.col("base")), 4).alias("relative"))
+
+
+def samples(coded: DataFrame, key: str, column: str = "failures") -> DataFrame:
+    """(code, n, sample): how often each failure code comes, and the smallest key that has it."""
+    return coded.select(key, F.explode(column).alias("code")).groupBy("code").agg(F.count("*").alias("n"), F.min(key).alias("sample"))
+
+
+def spot_check(ranked: DataFrame, expected: DataFrame, document: str, k: int = 5) -> DataFrame:
+    """(query_id, ok): whether any expected document is among the first ``k``; queries without a hit are not."""
+    hit = ranked.where(F.col("doc_rank") <= k).join(expected, ["query_id", document], "left_semi").select("query_id").distinct().withColumn("_hit", F.lit(True))
+    return expected.select("query_id").distinct().join(hit, "query_id", "left").select("query_id", F.coalesce("_hit", F.lit(False)).alias("ok"))
+
+
+def best_covered(rows: DataFrame, by: str, coverage: Column, order: Column, value: str) -> DataFrame:
+    """(by, value, coverage) of the row with the highest coverage; of equal ones the first."""
+    best = F.max_by(F.struct(F.col(value).alias("v"), coverage.alias("c")), F.struct(coverage, -order))
+    return rows.groupBy(by).agg(best.alias("_b")).select(by, F.col("_b.v").alias(value), F.col("_b.c").alias("coverage"))
+
+
+def first_unique(rows: DataFrame, by: str, value: str, order: Column, most: int = 10) -> DataFrame:
+    """(by, value, place): the first ``most`` different values of each group, in the order they first come."""
+    first = rows.groupBy(by, value).agg(F.min(order).alias("_o"))
+    place = F.row_number().over(Window.partitionBy(by).orderBy("_o", value))
+    return first.withColumn("place", place).where(F.col("place") <= most).select(by, value, "place")
+
+
+def experiment(index, chunks: DataFrame, queries: DataFrame, expected: DataFrame, configs: dict, document: str, k: int = 5) -> DataFrame:
+    """Metrics of each query under each named search setting, with ``config``: baseline against hybrid, weights and
+    bounds, or modes side by side. One search a setting over the same stored index."""
+    from .fusion import first_documents
+    from .search import search
+
+    out = None
+    for name, config in configs.items():
+        found = search(index, chunks, queries, config, document)
+        docs = first_documents(found, "document").withColumnRenamed("document", document)
+        rows = retrieval_metrics(docs, expected, document, k).withColumn("config", F.lit(name))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def gate_report(answers: DataFrame, expected: DataFrame) -> DataFrame:
+    """(group, n, passed, share): answers (query_id, status) against what should come of each question (query_id,
+    group, answerable); a question without an answer row has been refused."""
+    both = expected.join(answers.select("query_id", "status"), "query_id", "left")
+    return passed(both, "group", F.col("answerable") == (F.coalesce("status", F.lit("")) == "answered"))

@@ -1,4 +1,4 @@
-"""Inverted index and BM25 over tables.
+"""Terms, lengths and the gain of BM25 over tables; :mod:`.index` ranks with them.
 
 Ranking works on ids, terms and counts alone; texts join afterwards, if at all.
 """
@@ -15,6 +15,11 @@ K1, B = 1.4, 0.75
 BROADCAST_ROWS = 200_000
 
 
+def small(df: DataFrame) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most BROADCAST_ROWS rows, which are counted."""
+    return maybe_broadcast(df, df.limit(BROADCAST_ROWS + 1).count())
+
+
 def maybe_broadcast(df: DataFrame, rows: int | None) -> DataFrame:
     """``df`` with a broadcast hint if it is known to have few rows."""
     return F.broadcast(df) if rows is not None and rows <= BROADCAST_ROWS else df
@@ -45,44 +50,6 @@ def _gain(n: Column, df: Column, tf: Column, dl: Column, avgdl: Column) -> Colum
     return idf * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * dl / avgdl))
 
 
-def bm25(docs: DataFrame, key: str, text: Column, asked: DataFrame, n_asked: int | None = None) -> DataFrame:
-    """(query_id, key, score) over one candidate set for all queries.
-
-    Only postings of query terms are kept, filtered before the aggregation by a
-    semi join on the terms, so the shuffle holds what the queries can use.
-    """
-    vocabulary = maybe_broadcast(asked.select("term").distinct(), n_asked)
-    sized = docs.select(key, index_tokens(text).alias("t"))
-    tokens = sized.select(key, F.size("t").alias("dl"), F.explode("t").alias("term")).join(vocabulary, "term", "left_semi")
-    postings = tokens.groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
-    stats = sized.agg(F.count("*").alias("n"), F.coalesce(F.avg(F.size("t")), F.lit(1.0)).alias("avgdl"))
-    stats = stats.select("n", F.when(F.col("avgdl") == 0, 1.0).otherwise(F.col("avgdl")).alias("avgdl"))
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
-    weights = maybe_broadcast(df.crossJoin(F.broadcast(stats)), n_asked)
-    gained = postings.join(weights, "term").select(key, "term", _gain(F.col("n"), F.col("df"), F.col("tf"), F.col("dl"), F.col("avgdl")).alias("g"))
-    return gained.join(maybe_broadcast(asked, n_asked), "term").groupBy("query_id", key).agg(F.sum(F.col("qtf") * F.col("g")).alias("score"))
-
-
-def bm25_candidates(docs: DataFrame, key: str, text: Column, asked: DataFrame, candidates: DataFrame) -> DataFrame:
-    """(query_id, key, score) where each query has candidates of its own: (query_id, key, boost).
-
-    Document count, average length and document frequencies are those of a query's
-    candidates; the score is multiplied by the boost.
-    """
-    sized = docs.select(key, index_tokens(text).alias("t"))
-    dl = sized.select(key, F.size("t").cast("bigint").alias("dl"))
-    own = candidates.join(dl, key)
-    stats = own.groupBy("query_id").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    stats = stats.select("query_id", "n", F.when(F.col("avgdl") == 0, 1.0).otherwise(F.col("avgdl")).alias("avgdl"))
-    vocabulary = asked.select("term").distinct()
-    postings = sized.select(key, F.explode("t").alias("term")).join(vocabulary, "term", "left_semi").groupBy(key, "term").agg(F.count("*").alias("tf"))
-    met = postings.join(asked, "term").join(own, ["query_id", key])
-    df = met.groupBy("query_id", "term").agg(F.count("*").alias("df"))
-    gains = met.join(df, ["query_id", "term"]).join(stats, "query_id")
-    gain = _gain(F.col("n"), F.col("df"), F.col("tf"), F.col("dl"), F.col("avgdl"))
-    return gains.groupBy("query_id", key).agg((F.sum(F.col("qtf") * gain) * F.first("boost")).alias("score"))
-
-
 def top_k(scored: DataFrame, k: int, order: list[Column], per: str = "query_id") -> DataFrame:
     """Rows of rank 1 to k in their query, with ``rank``; Spark prunes each task's rows to k before the shuffle."""
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy(per).orderBy(*order))).where(F.col("rank") <= k)

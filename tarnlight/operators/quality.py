@@ -67,9 +67,49 @@ def stale_reasons(row: dict[str, Column]) -> Column:
 
 
 def corpus_digest(docs: DataFrame, key: str, content: Column) -> DataFrame:
-    """One row: a digest that changes with any document, key or content. Digests of 4,096 groups of keys are digested
-    again, so no task gathers them all."""
-    one = docs.select(F.col(key).cast("string").alias("k"), F.sha2(F.coalesce(content, F.lit("")), 256).alias("h"))
-    spread = one.withColumn("g", F.pmod(F.xxhash64("k"), F.lit(4096)))
-    part = spread.groupBy("g").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "k", "h"))), "\n"), 256).alias("h"))
-    return part.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("g", "h"))), lambda x: x["h"]), "\n"), 256).alias("corpus_hash"))
+    """One row: a digest that changes with any document, key or content, in whatever order they come. Digests of the
+    documents are added up, so nothing is gathered."""
+    one = F.sha2(F.concat_ws(":", F.col(key).cast("string"), F.sha2(F.coalesce(content, F.lit("")), 256)), 256)
+    part = lambda i: F.sum(F.conv(F.substring("h", 1 + 15 * i, 15), 16, 10).cast("decimal(38,0)")).cast("string")
+    sums = docs.select(one.alias("h")).agg(F.count("*").alias("n"), *[part(i).alias(f"s{i}") for i in range(4)])
+    return sums.select(F.sha2(F.concat_ws(":", F.col("n").cast("string"), *[F.coalesce(f"s{i}", F.lit("0")) for i in range(4)]), 256).alias("corpus_hash"))
+
+
+def audit_corpus(parsed: DataFrame, public: Column) -> DataFrame:
+    """(slug, field, problem) of a corpus, in a stable order: documents that cannot be parsed, and of public ones the
+    fields and relations that break the contract. ``parsed`` is what the corpus reader gives."""
+    from .graph import audit_edges, relation_edges
+
+    unread = parsed.where("parse_error IS NOT NULL").select("slug", F.lit("frontmatter").alias("field"), F.col("parse_error").alias("problem"))
+    read = parsed.where("parse_error IS NULL").withColumn("_public", public)
+    shown = read.where("_public")
+    broken = shown.select("slug", F.explode(violations({c: F.col(c) for c in ("type", "status", "evidenceLevel", "verifiedAt", "canonicalFor", "supersededBy")})).alias("field"))
+    edges = audit_edges(relation_edges(shown, "slug", "relations"), read.select("slug", F.col("_public").alias("public")))
+    rows = unread.unionAll(broken.select("slug", "field", F.lit("not allowed").alias("problem")))
+    rows = rows.unionAll(edges.select(F.col("src").alias("slug"), F.lit("relations").alias("field"), "problem"))
+    return rows.orderBy("slug", "field", "problem")
+
+
+def closed_world(rows: DataFrame, dimension: DataFrame, key: str) -> DataFrame:
+    """``rows`` joined to a dimension that must match both ways; a key that one side lacks fails the job and is named."""
+    left, right = rows.withColumn("_l", F.lit(True)), dimension.withColumn("_r", F.lit(True))
+    both = left.join(right, key, "full_outer")
+    name = F.coalesce(F.col(key).cast("string"), F.lit("null"))
+    checked = F.when(F.col("_l") & F.col("_r"), F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("not on both sides: "), name)).cast("boolean"))
+    return both.where(checked).drop("_l", "_r")
+
+
+def unlike_excerpts(docs: DataFrame, key: str, excerpt: Column, least: int = 1) -> DataFrame:
+    """Documents whose excerpt is missing, blank or still holds marks."""
+    said = F.trim(F.coalesce(excerpt, F.lit("")))
+    problem = F.when(F.length(said) < least, "empty").when(said.rlike(r"```|^#+\s|\*\*"), "marks")
+    return docs.select(key, problem.alias("problem")).where("problem IS NOT NULL")
+
+
+def graph_of(lines: DataFrame, column: str = "value") -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of a drawn graph, a line a row: ``A --> B``, ``A -->|label| B``, ``A[Name]``."""
+    node = r"([A-Za-z0-9_.-]+)(?:\[[^\]]*\]|\([^)]*\)|\{[^}]*\})?"
+    pattern = rf"^\s*{node}\s*(?:-->|---|-\.->|==>)\s*(?:\|([^|]*)\|\s*)?{node}"
+    edges = lines.where(F.col(column).rlike(pattern)).select(*[F.regexp_extract(column, pattern, i).alias(n) for i, n in ((1, "src"), (2, "label"), (3, "dst"))])
+    named = lines.where(F.col(column).rlike(r"^\s*[A-Za-z0-9_.-]+[\[({]")).select(F.regexp_extract(column, r"^\s*([A-Za-z0-9_.-]+)", 1).alias("node"))
+    return named.unionAll(edges.select(F.explode(F.array("src", "dst")))).distinct(), edges

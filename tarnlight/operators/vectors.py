@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,21 +38,63 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(both, F.lit(0.0), lambda s, x: s + x)
 
 
-def sparse_cosine(queries: DataFrame, docs: DataFrame, key: str) -> DataFrame:
-    """(query_id, key, vector_score) by a join on the bucket: pairs without a common bucket score 0 and have no row.
+#: Bytes of a block of query vectors sent to the tasks; more queries take more blocks.
+BLOCK_BYTES = 32 << 20
 
-    Weights have six places, so the sum is taken over integers: its order does not matter. Cut to six places.
+
+def scores(vectors: DataFrame, queries: DataFrame, key: str, vec: str, most: int | None = None, floor: float | None = None) -> DataFrame:
+    """(query_id, key, score): dot product, to six places, of each query with each vector but its own.
+
+    Components beyond the shorter length and nulls count as 0. With ``most``, only
+    rows that can be among a query's first ``most`` leave a task; with ``floor``, only
+    scores from it on. The queries go to the tasks in blocks of bounded size.
     """
-    whole = lambda c: F.round(F.col(c) * 1e6).cast("bigint")
-    q = queries.select("query_id", "bucket", whole("w").alias("wq"))
-    summed = docs.select(key, "bucket", whole("w").alias("wd")).join(q, "bucket").groupBy("query_id", key).agg(F.sum(F.col("wd") * F.col("wq")).alias("s"))
-    return summed.select("query_id", key, (F.floor(F.col("s") / 1_000_000) / 1e6).alias("vector_score"))
+    spark = vectors.sparkSession
+    sized = queries.select("query_id", F.col(vec).alias("q")).where("q IS NOT NULL")
+    n, width = sized.agg(F.count("*"), F.coalesce(F.max(F.size("q")), F.lit(0))).first()
+    blocks = max(1, -(-n * max(1, width) * 8 // BLOCK_BYTES))
+    kinds = f"query_id {sized.schema['query_id'].dataType.simpleString()}, `{key}` {vectors.schema[key].dataType.simpleString()}, score double"
+    rows = spark.createDataFrame([], kinds)
+    for block in range(blocks if n else 0):
+        part = sized.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).toArrow()
+        if part.num_rows:
+            sent = spark.sparkContext.broadcast((part.column(0).combine_chunks(), filled(part.column(1).combine_chunks())))
+            rows = rows.unionAll(vectors.select(key, vec).where(F.col(vec).isNotNull()).mapInArrow(_products(sent, key, most, floor), kinds))
+    return rows
+
+
+def filled(column: pa.Array, width: int | None = None) -> np.ndarray:
+    """Rows of a matrix from lists of numbers; zeros for what is missing, cut at ``width``."""
+    lengths = np.diff(column.offsets.to_numpy())
+    out = np.zeros((len(column), max([0, *lengths]) if width is None else width))
+    row, place = np.repeat(np.arange(len(column)), lengths), np.concatenate([np.arange(n) for n in lengths]) if len(lengths) else np.zeros(0, np.int64)
+    values = np.nan_to_num(column.flatten().fill_null(0).to_numpy(zero_copy_only=False).astype(np.float64), nan=np.nan)
+    inside = place < out.shape[1]
+    out[row[inside], place[inside]] = values[inside]
+    return out
+
+
+def _products(sent, key: str, most: int | None, floor: float | None):
+    def run(batches):
+        ids, q = sent.value
+        names = np.array(ids.to_pylist(), object)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = filled(batch.column(1), q.shape[1])
+            s = np.round(q @ x.T, 6)
+            ok = names[:, None] != np.array(batch.column(0).to_pylist(), object)[None, :]
+            if floor is not None:
+                ok &= s >= floor
+            if most is not None and batch.num_rows > most + 1:
+                ok &= s >= -np.partition(-s, most, axis=1)[:, most : most + 1] - 1e-6  # its own may be among them; ties stay
+            a, b = np.nonzero(ok)
+            yield pa.record_batch([ids.take(pa.array(a)), batch.column(0).take(pa.array(b)), pa.array(s[a, b])], names=["query_id", key, "score"])
+
+    return run
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, key: str, vec: str, k: int) -> DataFrame:
-    """(query_id, key, score, rank) by exact search; the queries are a bounded set, broadcast to the vectors."""
-    q = queries.select("query_id", F.col(vec).alias("_q"))
-    pairs = vectors.crossJoin(F.broadcast(q)).where(F.col(key) != F.col("query_id"))
-    scored = pairs.select("query_id", key, F.round(dot(F.col(vec), F.col("_q")), 6).alias("score"))
+    """(query_id, key, score, rank) by exact search: the stated queries against all vectors, in blocks."""
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return scores(vectors, queries, key, vec, k).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

@@ -13,6 +13,7 @@ from ..operators import evaluation as ev
 from ..operators import filters as fl
 from ..operators import graph as gr
 from ..operators import quality as ql
+from ..operators.lexical import small
 from .base import FNV, query, read, tok
 
 # Hint rules on words of the documents, in the form of the built-in ones: (tokens, sources, languages).
@@ -52,7 +53,7 @@ def metadata_filter_inferred_fallback(spark, d):
     bench = read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), index_tokens(F.col("text")).alias("t"))
     q = bench.select("query_id", fl.hint_values(F.col("t"), 1, HINTS).alias("cats"), fl.hint_values(F.col("t"), 2, HINTS).alias("tags"))
     kinds = read(spark, d, "documents").select("source", "lang").distinct()
-    pairs = kinds.crossJoin(F.broadcast(q))
+    pairs = kinds.crossJoin(small(q))
     spec, row = {"category": F.col("cats"), "tag": F.col("tags")}, {"category": F.col("source"), "tag": F.array("lang")}
     has = (F.size("cats") + F.size("tags")) > 0
     return fl.candidates(pairs, F.lit(False), F.lit(False), fl.matches_inferred(spec, row), has).select("query_id", "source", "lang")
@@ -62,7 +63,7 @@ def metadata_filter_inferred_fallback(spark, d):
 def metadata_filter_explicit(spark, d):
     bench = read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array(*[F.concat(F.lit("src"), F.col("item_id") % m) for m in (20, 7)]).alias("cats"))
     kinds = read(spark, d, "documents").groupBy("source", "lang").agg(F.count("*").alias("c"))
-    pairs = kinds.crossJoin(F.broadcast(bench))
+    pairs = kinds.crossJoin(small(bench))
     spec = {"category": F.col("cats"), "tag": F.array(F.lit("EN"), F.lit("de"))}
     kept = pairs.where(fl.matches_explicit(spec, {"category": F.col("source"), "tag": F.array("lang")}))
     return kept.groupBy("query_id").agg(F.sum("c").alias("n"))
@@ -122,16 +123,25 @@ def chunk_long_text(spark, d):
 
 @query(f"WITH {LINES} SELECT doc_id, pos::BIGINT AS pos, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS chunk_order FROM l WHERE trim(line) <> ''")
 def chunk_order(spark, d):
-    rows = ch.lines(read(spark, d, "documents"), "doc_id", F.col("text")).where(F.trim("line") != "")
-    order = F.row_number().over(Window.partitionBy("doc_id").orderBy("pos")) - 1
-    return rows.select("doc_id", F.col("pos").cast("bigint").alias("pos"), order.cast("bigint").alias("chunk_order"))
+    rows = ch.lines(read(spark, d, "documents"), "doc_id", F.col("text")).where(F.trim("line") != "").withColumnRenamed("line", "content")
+    rows = rows.withColumns({"heading_path": F.lit(ch.OVERVIEW), "chunk_type": F.lit("prose"), "unit": F.col("pos"), "part": F.lit(0)})
+    return ch.hashed(rows, "doc_id", False).select("doc_id", F.col("pos").cast("bigint").alias("pos"), F.col("chunk_order").cast("bigint").alias("chunk_order"))
 
 
-@query(f"WITH {LINES} SELECT doc_id, pos::BIGINT AS pos, left(sha1(line), 16) AS content_hash, doc_id || '#' || lower(to_hex({FNV.format(chr(39) + 's:' + chr(39) + ' || line')})) AS legacy_id FROM l WHERE pos = 0")
+@query(f"WITH {LINES} SELECT doc_id, pos::BIGINT AS pos, left(sha1(line), 16) AS content_hash, left(sha1(doc_id || '|' || '{ch.OVERVIEW}' || '|prose|' || left(sha1(line), 16) || '|ctx0|{ch.SCHEMAS[1]}'), 16) AS chunk_hash FROM l")
 def chunk_ids(spark, d):
-    """Both ids of every line of every document (the SQL gives those of first lines; a unit test pins all lines)."""
+    """Content and chunk hashes of every line of every document."""
+    rows = ch.lines(read(spark, d, "documents"), "doc_id", F.col("text")).withColumnRenamed("line", "content")
+    rows = rows.withColumns({"heading_path": F.lit(ch.OVERVIEW), "chunk_type": F.lit("prose"), "unit": F.col("pos"), "part": F.lit(0)})
+    return ch.hashed(rows, "doc_id", False).select("doc_id", F.col("pos").cast("bigint").alias("pos"), "content_hash", "chunk_hash")
+
+
+@query()
+def legacy_chunk_ids(spark, d):
+    """Legacy ids of every line of every document (rows only: the fold over the characters of all lines is too slow in
+    SQL; a unit test holds it against a plain loop)."""
     rows = ch.lines(read(spark, d, "documents"), "doc_id", F.col("text"))
-    return rows.select("doc_id", F.col("pos").cast("bigint").alias("pos"), F.substring(F.sha1("line"), 1, 16).alias("content_hash"), ch.legacy_chunk_id(F.col("doc_id"), F.lit("s"), F.col("line")).alias("legacy_id"))
+    return rows.select("doc_id", F.col("pos").cast("bigint").alias("pos"), ch.legacy_chunk_id(F.col("doc_id"), F.lit("s"), F.col("line")).alias("legacy_id"))
 
 
 @query("""SELECT page_id, n::BIGINT AS n, h AS text, coalesce(nullif(regexp_replace(regexp_replace(lower(trim(h)), '[^a-z0-9가-힣]+', '-', 'g'), '^-+|-+$', '', 'g'), ''), 'section') AS base_id
@@ -203,9 +213,11 @@ def stale_reasons(spark, d):
     return s.select("source", F.array_join(ql.stale_reasons(row), ",").alias("reasons"))
 
 
-@query()
+@query("""WITH h AS (SELECT sha256(doc_id || ':' || sha256(coalesce(text, ''))) AS h FROM documents),
+s AS (SELECT count(*) AS n, sum(('0x' || substr(h, 1, 15))::BIGINT) AS a, sum(('0x' || substr(h, 16, 15))::BIGINT) AS b, sum(('0x' || substr(h, 31, 15))::BIGINT) AS c, sum(('0x' || substr(h, 46, 15))::BIGINT) AS e FROM h)
+SELECT sha256(n || ':' || a || ':' || b || ':' || c || ':' || e) AS corpus_hash FROM s""")
 def corpus_digest(spark, d):
-    """One digest of all documents (rows only: its groups come from a hash the comparison lacks)."""
+    """One digest of all documents."""
     return ql.corpus_digest(read(spark, d, "documents"), "doc_id", F.col("text"))
 
 
@@ -263,13 +275,30 @@ def adjacency_lists(spark, d):
     return gr.adjacency(edges(spark, d))
 
 
-@query("""SELECT o_orderkey, array_to_string(list_filter([CASE WHEN o_orderstatus NOT IN ('O', 'F') THEN 'status' END, CASE WHEN o_orderstatus = 'F' AND o_totalprice < 1000 THEN 'price' END, CASE WHEN NOT regexp_matches(o_orderpriority, '^[0-9]-[A-Z ]+$') THEN 'priority' END], lambda x: x IS NOT NULL), ',') AS violations
-FROM orders WHERE o_orderstatus NOT IN ('O', 'F') OR (o_orderstatus = 'F' AND o_totalprice < 1000) OR NOT regexp_matches(o_orderpriority, '^[0-9]-[A-Z ]+$')""")
+AUDITED = """SELECT o_orderkey, CASE o_orderstatus WHEN 'O' THEN 'overview' WHEN 'F' THEN 'incident' ELSE o_orderstatus END AS type,
+ CASE WHEN o_totalprice < 50000 THEN 'verified' WHEN o_totalprice < 100000 THEN 'superseded' ELSE 'partial' END AS status,
+ CASE WHEN o_orderpriority LIKE '1%' THEN 'production' WHEN o_orderpriority LIKE '5%' THEN 'guessed' ELSE 'unit-test' END AS level,
+ CASE WHEN o_orderkey % 3 = 0 THEN NULL WHEN o_orderkey % 3 = 1 THEN strftime(o_orderdate, '%Y-%m-%d') ELSE strftime(o_orderdate, '%d.%m.%Y') END AS verified,
+ CASE WHEN o_orderkey % 5 = 0 THEN 'Not Kebab' WHEN o_orderkey % 5 = 1 THEN 'kebab-case-1' END AS canonical, CASE WHEN o_orderkey % 2 = 0 THEN 'other' END AS replaced FROM orders"""
+
+
+@query(f"""WITH r AS ({AUDITED}), v AS (SELECT o_orderkey, list_filter([CASE WHEN type NOT IN {ql.TYPES} THEN 'type' END, CASE WHEN status NOT IN {ql.STATUSES} THEN 'status' END, CASE WHEN level NOT IN {ql.EVIDENCE} THEN 'evidenceLevel' END,
+ CASE WHEN status = 'verified' AND NOT coalesce(regexp_matches(verified, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}$'), false) THEN 'verifiedAt' END, CASE WHEN canonical IS NOT NULL AND NOT regexp_matches(canonical, '^[a-z0-9]+(-[a-z0-9]+)*$') THEN 'canonicalFor' END,
+ CASE WHEN status = 'superseded' AND replaced IS NULL THEN 'supersededBy' END], lambda x: x IS NOT NULL) AS found FROM r)
+SELECT o_orderkey, array_to_string(found, ',') AS violations FROM v WHERE len(found) > 0""")
 def metadata_audit(spark, d):
-    """Records that break a closed set, a conditional field or a pattern."""
-    o = read(spark, d, "orders")
-    bad = [F.when(~F.col("o_orderstatus").isin("O", "F"), "status"), F.when((F.col("o_orderstatus") == "F") & (F.col("o_totalprice") < 1000), "price"), F.when(~F.col("o_orderpriority").rlike("^[0-9]-[A-Z ]+$"), "priority")]
-    return o.select("o_orderkey", F.array_join(F.array_compact(F.array(*bad)), ",").alias("violations")).where("violations <> ''")
+    """Records that break the metadata contract: closed sets, dates, names and what a status demands."""
+    o, k = read(spark, d, "orders"), F.col("o_orderkey")
+    price, priority = F.col("o_totalprice"), F.col("o_orderpriority")
+    record = {
+        "type": F.when(F.col("o_orderstatus") == "O", "overview").when(F.col("o_orderstatus") == "F", "incident").otherwise(F.col("o_orderstatus")),
+        "status": F.when(price < 50000, "verified").when(price < 100000, "superseded").otherwise("partial"),
+        "evidenceLevel": F.when(priority.startswith("1"), "production").when(priority.startswith("5"), "guessed").otherwise("unit-test"),
+        "verifiedAt": F.when(k % 3 == 1, F.date_format("o_orderdate", "yyyy-MM-dd")).when(k % 3 == 2, F.date_format("o_orderdate", "dd.MM.yyyy")),
+        "canonicalFor": F.when(k % 5 == 0, "Not Kebab").when(k % 5 == 1, "kebab-case-1"),
+        "supersededBy": F.when(k % 2 == 0, "other"),
+    }
+    return o.select("o_orderkey", F.array_join(ql.violations(record), ",").alias("violations")).where("violations <> ''")
 
 
 @query("SELECT a.c_custkey AS slug, a.c_custkey + 1 AS by, coalesce(b.c_nationkey = a.c_nationkey, false) AS reciprocal FROM customer a LEFT JOIN customer b ON b.c_custkey = a.c_custkey + 1")
@@ -340,4 +369,4 @@ def distinct_tokens(spark, d):
 
 @query("SELECT n_name AS slug, lower(regexp_replace(n_name, '[^A-Za-z0-9]+', '-', 'g')) AS anchor, " + FNV.format("n_name") + "::BIGINT AS hash FROM nation")
 def dimension_anchors(spark, d):
-    return read(spark, d, "nation").select(F.col("n_name").alias("slug"), F.lower(F.regexp_replace("n_name", "[^A-Za-z0-9]+", "-")).alias("anchor"), fnv1a(F.col("n_name")).alias("hash"))
+    return read(spark, d, "nation").select(F.col("n_name").alias("slug"), heading_id(F.col("n_name")).alias("anchor"), fnv1a(F.col("n_name")).alias("hash"))

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from ..functions.text import content_tokens, fnv1a, index_tokens
 from ..operators import evaluation as ev
 from ..operators import fusion as fu
+from ..operators import index as ix
 from ..operators import lexical as lx
 from ..operators import vectors as vx
+from ..sources.workspace import cut, kept
 from .base import BM25, FNV, FUSED, FUSED_ORDER, TOKENS, VECTORS, query, read, tok
 
 TOP_N = 40
@@ -21,26 +23,27 @@ def docs_of(spark, d) -> DataFrame:
     return docs.repartition(spark.sparkContext.defaultParallelism) if docs.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism else docs
 
 
-def asked_of(spark, d) -> tuple[DataFrame, int]:
-    """Query terms, and how many query rows there are at most (from the table's own count)."""
-    bench = read(spark, d, "benchmark")
-    return lx.query_terms(bench, "item_id", F.col("text")), bench.count() * 400
+def index_of(spark, d) -> ix.Index:
+    """The index of the documents, built at a session's first query and kept until the table changes."""
+    at = f"{d.rstrip('/')}/documents.parquet"
+    return ix.build(docs_of(spark, d), "doc_id", F.col("text"), lambda name, make: kept(spark, f"documents-{name}", at, make))
+
+
+def asked_of(spark, d) -> DataFrame:
+    return ix.asked_terms(read(spark, d, "benchmark"), "item_id", F.col("text"))
 
 
 def lexical_list(spark, d, n: int = TOP_N) -> DataFrame:
-    asked, size = asked_of(spark, d)
-    scored = lx.bm25(docs_of(spark, d), "doc_id", F.col("text"), asked, size).withColumn("score", F.round("score", 6))
+    scored = ix.lexical(index_of(spark, d), asked_of(spark, d)).select("query_id", "doc_id", F.round("score", 6).alias("score"))
     return lx.top_k(scored, n, [F.desc("score"), F.col("doc_id")])
 
 
 def vector_scores(spark, d) -> DataFrame:
-    docs = vx.sparse_embedding(docs_of(spark, d), "doc_id", F.col("text"))
-    q = vx.sparse_embedding(read(spark, d, "benchmark"), "item_id", F.col("text")).withColumnRenamed("item_id", "query_id")
-    return vx.sparse_cosine(q, docs, "doc_id").withColumnRenamed("vector_score", "score")
+    return ix.cosine(index_of(spark, d), asked_of(spark, d))
 
 
 def vector_list(spark, d, n: int = TOP_N) -> DataFrame:
-    return lx.top_k(vector_scores(spark, d).where("score >= 0.03"), n, [F.desc("score"), F.col("doc_id")])
+    return lx.top_k(ix.cosine(index_of(spark, d), asked_of(spark, d), n, 0.03), n, [F.desc("score"), F.col("doc_id")])
 
 
 def fused_list(spark, d, lexical_weight: float = 1.0, vector_weight: float = 1.0) -> DataFrame:
@@ -50,19 +53,18 @@ def fused_list(spark, d, lexical_weight: float = 1.0, vector_weight: float = 1.0
 
 @query(f"SELECT source, count(*)::BIGINT AS docs, sum(len({tok('text')}))::BIGINT AS tokens FROM documents GROUP BY source")
 def tokenize_counts(spark, d):
-    rows = read(spark, d, "documents").select("source", F.size(index_tokens(F.col("text"))).alias("n"))
+    rows = docs_of(spark, d).select("source", F.size(index_tokens(F.col("text"))).alias("n"))
     return rows.groupBy("source").agg(F.count("*").alias("docs"), F.sum("n").cast("bigint").alias("tokens"))
 
 
 @query(f"WITH {TOKENS} SELECT doc_id, term, tf::BIGINT AS tf FROM post")
 def term_frequency(spark, d):
-    return lx.term_frequencies(lx.terms(read(spark, d, "documents"), "doc_id", F.col("text")), "doc_id")
+    return index_of(spark, d).postings.select("doc_id", "term", "tf")
 
 
 @query(f"WITH {TOKENS} SELECT term, count(*)::BIGINT AS df FROM post GROUP BY term")
 def document_frequency(spark, d):
-    distinct = read(spark, d, "documents").select(F.explode(F.array_distinct(index_tokens(F.col("text")))).alias("term"))
-    return distinct.groupBy("term").agg(F.count("*").alias("df"))
+    return index_of(spark, d).terms
 
 
 @query(f"WITH {TOKENS} SELECT count(*)::BIGINT AS n_docs, sum(dl)::BIGINT AS n_tokens, round(avg(dl), 6) AS avgdl, max(dl)::BIGINT AS longest FROM len")
@@ -79,7 +81,8 @@ def fnv_hash_terms(spark, d):
 
 @query(f"WITH {TOKENS}, {VECTORS} SELECT doc_id, bucket::BIGINT AS bucket, w FROM dvec")
 def hash_embedding_sparse(spark, d):
-    return vx.sparse_embedding(docs_of(spark, d), "doc_id", F.col("text"))
+    cells = index_of(spark, d).vectors.select("doc_id", F.explode(F.arrays_zip("buckets", "weights")).alias("c"))
+    return cells.select("doc_id", F.col("c.buckets").cast("bigint").alias("bucket"), F.round(F.col("c.weights") / 1e6, 6).alias("w"))
 
 
 @query(f"WITH {TOKENS}, {VECTORS} SELECT doc_id, round(sqrt(sum(n * n)), 6) AS norm, count(*)::BIGINT AS filled FROM dvec0 GROUP BY doc_id")
@@ -105,12 +108,10 @@ FROM met m JOIN df USING (query_id, term) JOIN qs USING (query_id) GROUP BY ALL"
 @query(FILTERED)
 def bm25_filtered_stats(spark, d):
     """Statistics over each query's own candidates (an explicit category filter), with the boost of category, summary and date."""
-    docs = docs_of(spark, d)
-    asked, _ = asked_of(spark, d)
     wanted = read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.concat(F.lit("src"), F.col("item_id") % 20).alias("source"))
-    cand = docs.select("doc_id", "source").join(F.broadcast(wanted), "source").select("query_id", "doc_id", F.lit(1.0 + 0.18 + 0.04 + 0.02).alias("boost"))
-    out = lx.bm25_candidates(docs, "doc_id", F.col("text"), asked, cand)
-    return out.select("query_id", "doc_id", F.round("score", 6).alias("score"))
+    docs = read(spark, d, "documents").select("doc_id", "source")
+    cand = docs.join(lx.small(wanted), "source").select("query_id", "doc_id", F.lit(1.0 + 0.18 + 0.04 + 0.02).alias("boost"))
+    return ix.lexical(index_of(spark, d), asked_of(spark, d), cand).select("query_id", "doc_id", F.round("score", 6).alias("score"))
 
 
 @query(f"""WITH {BM25}, boosted AS (
@@ -119,9 +120,7 @@ def bm25_filtered_stats(spark, d):
 def bm25_boosted(spark, d):
     from ..operators.filters import boost
 
-    asked, size = asked_of(spark, d)
-    docs = docs_of(spark, d)
-    scored = lx.bm25(docs, "doc_id", F.col("text"), asked, size).join(docs.select("doc_id", "lang", "source"), "doc_id")
+    scored = ix.lexical(index_of(spark, d), asked_of(spark, d)).join(read(spark, d, "documents").select("doc_id", "lang", "source"), "doc_id")
     lift = boost(F.col("source") == "src1", F.col("lang") == "en", F.lit(False), F.lit(False))
     ranked = lx.top_k(scored.select("query_id", "doc_id", F.round(F.col("score") * lift, 6).alias("score")), 10, [F.desc("score"), F.col("doc_id")])
     return ranked.withColumn("rank", F.col("rank").cast("bigint"))
@@ -130,18 +129,18 @@ def bm25_boosted(spark, d):
 COS = "list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
 KNN = f"""SELECT query_id, vec_id, score, rank::BIGINT AS rank FROM (
   SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank
-  FROM (SELECT a.vec_id AS query_id, b.vec_id, round({COS}, 6) AS score FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id)) WHERE rank <= 10"""
+  FROM (SELECT a.vec_id AS query_id, b.vec_id, round({COS}, 6) AS score FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id)) WHERE rank <= 10"""
 
 
 def knn(spark, d, k: int = 10):
     e = read(spark, d, "embeddings")
-    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
     return vx.nearest(e.select("vec_id", "embedding"), q, "vec_id", "embedding", k)
 
 
 @query(KNN)
 def cosine_knn(spark, d):
-    """Every fiftieth vector is a query against all vectors."""
+    """Every twentieth vector is a query against all vectors."""
     return knn(spark, d).withColumn("rank", F.col("rank").cast("bigint"))
 
 
@@ -154,12 +153,11 @@ def cosine_label_agreement(spark, d):
     return rows.groupBy("query_id").agg(F.sum(same).alias("same"), F.round(F.avg(same), 6).alias("agreement"))
 
 
-@query(f"SELECT a.vec_id AS query_id, count(*)::BIGINT AS n, round(max({COS}), 6) AS best FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id AND round({COS}, 6) >= 0.3 GROUP BY 1")
+@query(f"SELECT a.vec_id AS query_id, count(*)::BIGINT AS n, round(max({COS}), 6) AS best FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id AND round({COS}, 6) >= 0.3 GROUP BY 1")
 def cosine_threshold(spark, d):
     e = read(spark, d, "embeddings")
-    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("_q"))
-    pairs = e.select("vec_id", "embedding").crossJoin(F.broadcast(q)).where("vec_id <> query_id")
-    scored = pairs.select("query_id", F.round(vx.dot(F.col("embedding"), F.col("_q")), 6).alias("score")).where("score >= 0.3")
+    q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    scored = vx.scores(e.select("vec_id", "embedding"), q, "vec_id", "embedding", floor=0.3)
     return scored.groupBy("query_id").agg(F.count("*").alias("n"), F.max("score").alias("best"))
 
 
@@ -168,11 +166,7 @@ ovl AS (SELECT q.query_id, p.doc_id, count(*) / any_value(nq) AS overlap FROM qt
 
 
 def overlap_scores(spark, d):
-    asked, size = asked_of(spark, d)
-    n = asked.groupBy("query_id").agg(F.count("*").alias("nq"))
-    q = lx.maybe_broadcast(asked.select("query_id", "term").join(n, "query_id"), size)
-    docs = docs_of(spark, d).select("doc_id", F.explode(F.array_distinct(index_tokens(F.col("text")))).alias("term"))
-    return docs.join(q, "term").groupBy("query_id", "doc_id").agg((F.count("*") / F.first("nq")).alias("overlap"))
+    return ix.lexical(index_of(spark, d), asked_of(spark, d)).select("query_id", "doc_id", "overlap")
 
 
 @query(f"WITH {TOKENS}, {OVERLAP} SELECT query_id, doc_id, round(overlap, 6) AS overlap FROM ovl WHERE overlap >= 0.2")
@@ -273,9 +267,9 @@ TRUTH = "truth AS (SELECT item_id AS query_id, doc_id FROM benchmark b JOIN docu
 
 
 def truth_of(spark, d) -> DataFrame:
-    """(query_id, doc_id) of documents that hold a passage whole. The passages are few; they are broadcast."""
-    bench = read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("_p"))
-    return docs_of(spark, d).join(F.broadcast(bench), F.contains("text", F.col("_p"))).select("query_id", "doc_id")
+    """(query_id, doc_id) of documents that hold a passage whole; candidates come from the index."""
+    passages = read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"))
+    return ix.holding(index_of(spark, d), read(spark, d, "documents").select("doc_id", "text"), passages)
 
 
 METRICS_SQL = f"""WITH {BM25}, {TRUTH}, n AS (SELECT query_id, count(*) AS n_expected FROM truth GROUP BY 1),
@@ -311,28 +305,38 @@ def context_precision(spark, d):
 
 
 TAX = f"""WITH {BM25}, {TRUTH},
-n AS (SELECT item_id AS query_id, count(doc_id) AS n_expected FROM benchmark LEFT JOIN truth ON query_id = item_id GROUP BY 1),
+n AS (SELECT item_id AS query_id, any_value(b.text) AS question, count(doc_id) AS n_expected, max(doc_id) AS newest FROM benchmark b LEFT JOIN truth ON query_id = item_id GROUP BY 1),
 h AS (SELECT l.query_id, count(*) AS n_results, max(score) AS max_score, count(t.doc_id) AS found, coalesce(bool_or(t.doc_id IS NOT NULL) FILTER (rank = 1), false) AS top1, coalesce(bool_or(t.doc_id IS NOT NULL) FILTER (rank <= 5), false) AS top5,
-  count(*) - count(DISTINCT source) AS dup FROM lex l JOIN documents d USING (doc_id) LEFT JOIN truth t ON t.query_id = l.query_id AND t.doc_id = l.doc_id WHERE rank <= 6 GROUP BY 1),
-c AS (SELECT n.query_id, n_expected > 0 AS answerable, coalesce(n_results, 0) AS n_results, n_expected, coalesce(found, 0) > 0 AS anyx, coalesce(top1, false) AS top1, coalesce(top5, false) AS top5, coalesce(max_score, 0) AS max_score, coalesce(dup, 0) AS dup FROM n LEFT JOIN h USING (query_id)),
+  count(*) - count(DISTINCT source) AS dup, bool_and(lang = 'en') AS english, max(lower(d.text)) FILTER (rank = 1) AS first_text, coalesce(bool_or(l.doc_id = newest) FILTER (rank <= 5), false) AS newest5
+  FROM lex l JOIN documents d USING (doc_id) JOIN n ON n.query_id = l.query_id LEFT JOIN truth t ON t.query_id = l.query_id AND t.doc_id = l.doc_id WHERE rank <= 6 GROUP BY 1),
+c AS (SELECT n.query_id, n_expected > 0 AS answerable, coalesce(n_results, 0) AS n_results, n_expected, coalesce(found, 0) > 0 AS anyx, coalesce(top1, false) AS top1, coalesce(top5, false) AS top5, coalesce(max_score, 0) AS max_score, coalesce(dup, 0) AS dup,
+  n.query_id % 4 <> 0 OR coalesce(english, true) AS filter_ok, n_expected > 1 AND coalesce(top1, false) AND NOT coalesce(newest5, false) AS stale, list_slice({tok('question')}, 1, 3) AS words, coalesce(first_text, '') AS first_text FROM n LEFT JOIN h USING (query_id)),
 f AS (SELECT query_id, array_to_string(list_filter(CASE WHEN NOT answerable THEN [CASE WHEN n_results > 0 AND max_score >= 0.08 THEN 'NO_ANSWER_FAILURE' END]
   WHEN n_results = 0 THEN ['EXPECTED_DOC_NOT_RETRIEVED']
   ELSE [CASE WHEN NOT anyx THEN 'EXPECTED_DOC_NOT_RETRIEVED' END, CASE WHEN NOT top1 AND top5 THEN 'WRONG_TOP1' END, CASE WHEN anyx AND max_score < 0.12 THEN 'LOW_SIMILARITY' END,
-        CASE WHEN NOT anyx AND max_score >= 0.12 THEN 'SEMANTIC_MISS' END, CASE WHEN dup > 0 THEN 'DUPLICATE_RESULT' END] END, lambda x: x IS NOT NULL), ',') AS failures FROM c)"""
+        CASE WHEN len(words) > 0 AND len(list_filter(words, lambda w: contains(first_text, w))) / len(words) < 0.34 THEN 'KEYWORD_MISS' END,
+        CASE WHEN NOT anyx AND max_score >= 0.12 THEN 'SEMANTIC_MISS' END, CASE WHEN NOT filter_ok THEN 'FILTER_FAILURE' END, CASE WHEN dup > 0 THEN 'DUPLICATE_RESULT' END, CASE WHEN stale THEN 'STALE_DOCUMENT_SELECTED' END] END, lambda x: x IS NOT NULL), ',') AS failures FROM c)"""
 
 
 def coded(spark, d) -> DataFrame:
-    docs = read(spark, d, "documents").select("doc_id", "source")
+    """Failure codes of each passage. A passage names its first three terms as keywords, every fourth one asks for
+    English documents, and of several documents that hold it the one of the greatest id is the newest."""
+    docs = read(spark, d, "documents").select("doc_id", "source", "lang", "text")
     truth = truth_of(spark, d).withColumn("hit", F.lit(1))
-    top = lexical_list(spark, d, 6).join(docs, "doc_id").join(truth, ["query_id", "doc_id"], "left")
-    at = lambda k: F.coalesce(F.max(F.when(F.col("rank") <= k, F.col("hit").isNotNull())), F.lit(False))
-    h = top.groupBy("query_id").agg(F.count("*").alias("n_results"), F.max("score").alias("max_score"), F.count("hit").alias("found"), at(1).alias("top1"), at(5).alias("top5"), (F.count("*") - F.countDistinct("source")).alias("dup"))
-    n = read(spark, d, "benchmark").select(F.col("item_id").alias("query_id")).join(truth, "query_id", "left").groupBy("query_id").agg(F.count("hit").alias("n_expected"))
-    c = n.join(h, "query_id", "left").fillna({"n_results": 0, "max_score": 0.0, "found": 0, "dup": 0, "top1": False, "top5": False})
+    bench = read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.slice(index_tokens(F.col("text")), 1, 3).alias("words"))
+    n = bench.join(truth, "query_id", "left").groupBy("query_id").agg(F.first("words").alias("words"), F.count("hit").alias("n_expected"), F.max("doc_id").alias("newest"))
+    top = lexical_list(spark, d, 6).join(docs, "doc_id").join(truth, ["query_id", "doc_id"], "left").join(n.select("query_id", "newest"), "query_id")
+    at = lambda k, ok: F.coalesce(F.max(F.when(F.col("rank") <= k, ok)), F.lit(False))
+    found = F.col("hit").isNotNull()
+    h = top.groupBy("query_id").agg(
+        F.count("*").alias("n_results"), F.max("score").alias("max_score"), F.count("hit").alias("found"), at(1, found).alias("top1"), at(5, found).alias("top5"),
+        (F.count("*") - F.countDistinct("source")).alias("dup"), F.bool_and(F.col("lang") == "en").alias("english"), F.max(F.when(F.col("rank") == 1, F.col("text"))).alias("first_text"), at(5, F.col("doc_id") == F.col("newest")).alias("newest5"),
+    )
+    c = n.join(h, "query_id", "left").fillna({"n_results": 0, "max_score": 0.0, "found": 0, "dup": 0, "top1": False, "top5": False, "english": True, "newest5": False})
     row = {
         "answerable": F.col("n_expected") > 0, "n_results": F.col("n_results"), "n_expected": F.col("n_expected"), "any_expected": F.col("found") > 0,
-        "top1_expected": F.col("top1"), "top5_expected": F.col("top5"), "max_score": F.col("max_score"), "keyword_rate": F.lit(None).cast("double"),
-        "filter_ok": F.lit(True), "duplicates": F.col("dup"), "stale": F.lit(False),
+        "top1_expected": F.col("top1"), "top5_expected": F.col("top5"), "max_score": F.col("max_score"), "keyword_rate": ev.keyword_rate(F.col("first_text"), F.col("words")),
+        "filter_ok": (F.col("query_id") % 4 != 0) | F.col("english"), "duplicates": F.col("dup"), "stale": (F.col("n_expected") > 1) & F.col("top1") & ~F.col("newest5"),
     }
     return c.select("query_id", ev.failures(row).alias("failures"))
 
@@ -398,9 +402,9 @@ def relevance_gate(spark, d):
     docs = read(spark, d, "documents")
     hits = diversified(spark, d, 2).join(docs.select("doc_id", "text"), "doc_id")
     hits = hits.select("query_id", "rank", F.round("rrf", 4).alias("score"), F.lit(None).cast("double").alias("vector_score"), F.split("matched_by", ",").alias("matched_by"), "source", "text")
-    found = gate.hit_signals(hits, F.col("text"), F.col("source"), "source")
+    found = cut(gate.hit_signals(cut(hits), F.col("text"), F.col("source"), "source"))
     q = read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    s = gate.signals(q, found, F.col("text"), F.col("text"))
+    s = cut(gate.signals(q, found, F.col("text"), F.col("text")))
     yes, why = gate.relevance("hybrid")
     return s.select("query_id", yes.alias("relevant"), why.alias("reason"), F.round("content_coverage", 6).alias("content_coverage"), "content_hits")
 

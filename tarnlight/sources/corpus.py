@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import first_filled, string_list
 
-LISTS = ("tags", "relatedDocs", "relatedSlugs", "entities", "supersedes", "relations")
-SCALARS = ("title", "navTitle", "shortTitle", "category", "updatedAt", "summary", "description", "project", "type", "status", "evidenceLevel", "verifiedAt", "canonicalFor", "supersededBy", "portfolio_use", "evidence_type", "wikiVisibility", "visibility")
+LISTS = ("tags", "relatedDocs", "relatedFiles", "relatedSlugs", "entities", "supersedes", "relations")
+SCALARS = ("title", "navTitle", "shortTitle", "category", "updatedAt", "summary", "description", "intro", "project", "type", "status", "evidenceLevel", "verifiedAt", "canonicalFor", "supersededBy", "portfolio_use", "evidence_type", "wikiVisibility", "visibility")
 
 # Rank of the categories in document order.
 CATEGORY_ORDER = ("Overview", "Project", "Architecture", "AI Pipeline", "Backend", "Frontend", "Infra", "Experiments", "Bugs", "ADR", "Daily Log", "Portfolio")
@@ -112,3 +112,97 @@ def setting(spark: SparkSession, key: str, fallback, kind=str):
         return kind(value)
     except ValueError:
         return fallback
+
+
+def typed(parsed: DataFrame, types=None, statuses=None, evidence=None) -> DataFrame:
+    """Parsed documents by the strict contract: title, category and updatedAt are required and the category must be
+    known, or ``parse_error`` says so; unknown types, statuses and evidence levels become null; the description is the
+    first of description, summary and intro, and the excerpt that or the body's beginning."""
+    from ..functions.text import excerpt, plain_body
+    from ..operators.quality import EVIDENCE, STATUSES, TYPES
+
+    missing = F.col("title").isNull() | F.col("category").isNull() | F.col("updatedAt").isNull()
+    error = F.coalesce("parse_error", F.when(missing, "title, category, and updatedAt are required").when(~F.col("category").isin(*CATEGORY_ORDER), F.concat(F.lit("unknown category: "), "category")))
+    known = lambda c, allowed: F.when(F.col(c).isin(*allowed), F.col(c))
+    rows = parsed.withColumn("parse_error", error)
+    rows = rows.withColumns({"type": known("type", types or TYPES), "status": known("status", statuses or STATUSES), "evidenceLevel": known("evidenceLevel", evidence or EVIDENCE)})
+    rows = rows.withColumns({c: F.when(F.col(c) != "", F.col(c)) for c in ("verifiedAt", "canonicalFor", "supersededBy")})
+    rows = rows.withColumn("description", F.coalesce("description", "summary", "intro"))
+    return rows.withColumn("excerpt", F.coalesce("description", excerpt(plain_body(F.col("body")), 180)))
+
+
+def indexable(parsed: DataFrame) -> DataFrame:
+    """(slug) of the documents that enter the index."""
+    return parsed.where("parse_error IS NULL").where(~is_excluded(F.col("status"), F.coalesce("wikiVisibility", "visibility"))).select("slug")
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def read_index(spark: SparkSession, path: str, kind: str = "parquet") -> DataFrame | None:
+    """A stored index, in Parquet or JSON; nothing if it does not exist or cannot be read."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        return spark.read.format(kind).load(path) if exists(spark, path) else None
+    except AnalysisException:
+        return None
+
+
+def parse_settings(text: str) -> dict:
+    """Settings of a small indented file: ``key: value``, nested keys, ``[a, b]`` and ``- item`` lists, numbers,
+    booleans and null; ``#`` begins a comment."""
+
+    def value(raw: str):
+        raw = raw.strip()
+        if raw[:1] == raw[-1:] and raw[:1] in "\"'" and len(raw) > 1:
+            return raw[1:-1]
+        if raw.startswith("[") and raw.endswith("]"):
+            return [value(x) for x in raw[1:-1].split(",") if x.strip()]
+        if raw.lower() in ("", "null", "~"):
+            return None
+        if raw.lower() in ("true", "false"):
+            return raw.lower() == "true"
+        for kind in (int, float):
+            try:
+                return kind(raw)
+            except ValueError:
+                pass
+        return raw
+
+    out: dict = {}
+    levels: list[tuple[int, dict, str | None]] = [(-1, out, None)]  # indent, place, key that waits for its value
+    for line in text.splitlines():
+        bare = line.split(" #")[0].rstrip()
+        if not bare.strip() or bare.lstrip().startswith("#"):
+            continue
+        indent, said = len(bare) - len(bare.lstrip()), bare.strip()
+        while levels[-1][0] > indent or levels[-1][0] == indent and not said.startswith("- "):
+            levels.pop()
+        if said.startswith("- "):
+            while levels[-1][2] is None and len(levels) > 1:
+                levels.pop()
+            _, place, key = levels[-1]
+            if key is not None:
+                if not isinstance(place.get(key), list):
+                    place[key] = []
+                place[key].append(value(said[2:]))
+            continue
+        key, _, rest = said.partition(":")
+        _, place, waits = levels[-1]
+        if waits is not None:
+            if not isinstance(place.get(waits), dict):
+                place[waits] = {}
+            place = place[waits]
+        place[key.strip()] = value(rest)
+        levels.append((indent, place, key.strip() if not rest.strip() else None))
+    return out
+
+
+def run_stamp(now=None) -> str:
+    """Id of a run that sorts by time."""
+    from datetime import datetime, timezone
+
+    return (now or datetime.now(timezone.utc)).strftime("%Y%m%dT%H%M%SZ")

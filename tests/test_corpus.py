@@ -12,7 +12,7 @@ from tarnlight.operators import docsearch as ds
 from tarnlight.operators import gate
 from tarnlight.operators import graph as gr
 from tarnlight.operators import quality as ql
-from tarnlight.plans.corpus import chunk_ids
+from tarnlight.plans.corpus import chunk_ids, legacy_chunk_ids
 from tarnlight.sources import corpus, sinks
 from tarnlight.streaming import ingest
 
@@ -90,7 +90,8 @@ def test_chunk_ids_cover_every_line(spark, tmp_path):
             for c in f"s:{line}":
                 h = (h ^ ord(c)) * 16777619 % 2**32
             want.append((doc, pos, hashlib.sha1(line.encode()).hexdigest()[:16], f"{doc}#{h:x}"))
-    assert sorted(tuple(r) for r in chunk_ids(spark, str(tmp_path)).collect()) == want
+    assert sorted((r.doc_id, r.pos, r.content_hash) for r in chunk_ids(spark, str(tmp_path)).collect()) == [w[:3] for w in want]
+    assert sorted(tuple(r) for r in legacy_chunk_ids(spark, str(tmp_path)).collect()) == [(w[0], w[1], w[3]) for w in want]
 
 
 def test_fence_summary():

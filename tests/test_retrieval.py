@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tarnlight.operators import evaluation as ev
 from tarnlight.operators import filters as fl
 from tarnlight.operators import fusion as fu
-from tarnlight.operators import lexical as lx
+from tarnlight.operators import index as ix
 from tarnlight.operators import vectors as vx
 
 DOCS = [(1, "alpha beta beta gamma"), (2, "alpha delta"), (3, "omega"), (4, ""), (5, None)]
@@ -30,22 +30,75 @@ def brute_bm25(docs, terms):
     return out
 
 
+def asked_of(spark, text):
+    return ix.asked_terms(spark.createDataFrame([(7, text)], "q int, text string"), "q", F.col("text"))
+
+
 def test_bm25(spark):
-    docs = spark.createDataFrame(DOCS, "doc_id int, text string")
-    asked = lx.query_terms(spark.createDataFrame([(7, "alpha beta beta")], "q int, text string"), "q", F.col("text"))
-    got = {r.doc_id: r.score for r in lx.bm25(docs, "doc_id", F.col("text"), asked, 3).collect()}
+    index = ix.build(spark.createDataFrame(DOCS, "doc_id int, text string"), "doc_id", F.col("text"))
+    asked = asked_of(spark, "alpha beta beta")
+    rows = {r.doc_id: r for r in ix.lexical(index, asked).collect()}
     want = brute_bm25(DOCS, ["alpha", "beta", "beta"])
-    assert got.keys() == want.keys() and all(math.isclose(got[k], want[k]) for k in want)
-    some = docs.where("doc_id < 3").select(F.lit(7).alias("query_id"), "doc_id", F.lit(2.0).alias("boost"))
-    got = {r.doc_id: r.score for r in lx.bm25_candidates(docs, "doc_id", F.col("text"), asked, some).collect()}
+    assert rows.keys() == want.keys() and all(math.isclose(rows[k].score, want[k]) for k in want)
+    assert {k: r.overlap for k, r in rows.items()} == {1: 1.0, 2: 0.5}
+    some = spark.createDataFrame([(7, 1, 2.0), (7, 2, 2.0)], "query_id int, doc_id int, boost double")
+    got = {r.doc_id: r.score for r in ix.lexical(index, asked, some).collect()}
     want = brute_bm25(DOCS[:2], ["alpha", "beta", "beta"])
     assert all(math.isclose(got[k], 2 * want[k]) for k in want) and got.keys() == want.keys()
 
 
-def test_bm25_of_nothing(spark):
-    docs = spark.createDataFrame([], "doc_id int, text string")
-    asked = lx.query_terms(spark.createDataFrame([(7, "alpha")], "q int, text string"), "q", F.col("text"))
-    assert lx.bm25(docs, "doc_id", F.col("text"), asked, 1).count() == 0
+def test_index_of_nothing(spark):
+    index = ix.build(spark.createDataFrame([], "doc_id int, text string"), "doc_id", F.col("text"))
+    asked = asked_of(spark, "alpha")
+    assert ix.lexical(index, asked).count() == 0 and ix.cosine(index, asked).count() == 0
+    full = ix.build(spark.createDataFrame(DOCS, "doc_id int, text string"), "doc_id", F.col("text"))
+    assert ix.cosine(full, asked.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("block", [256 * 8, 1 << 25])
+def test_cosine(spark, monkeypatch, block):
+    """The packed product against plain Python, in one block of queries and in several."""
+    monkeypatch.setattr(ix, "BLOCK_BYTES", block)
+    texts = [(i, " ".join(f"w{(i * k) % 11}" for k in range(1, 2 + i % 5))) for i in range(40)]
+    index = ix.build(spark.createDataFrame(texts, "doc_id int, text string"), "doc_id", F.col("text"))
+    questions = spark.createDataFrame([(i, f"w{i} w{i + 1} w3") for i in range(3)], "q int, text string")
+    got = {(r.query_id, r.doc_id): r.score for r in ix.cosine(index, ix.asked_terms(questions, "q", F.col("text"))).collect()}
+
+    def packed(text):
+        cells = Counter()
+        for w in text.split():
+            h = 2166136261
+            for c in w:
+                h = (h ^ ord(c)) * 16777619 % 2**32
+            cells[h % 256] += 1
+        norm = math.sqrt(sum(n * n for n in cells.values()))
+        return {b: round(round(n / norm, 6) * 1e6) for b, n in cells.items()}
+
+    for q in range(3):
+        own = packed(f"w{q} w{q + 1} w3")
+        for i, text in texts:
+            s = sum(w * own.get(b, 0) for b, w in packed(text).items()) // 1_000_000 / 1e6
+            assert got.get((q, i), 0.0) == s
+    top = ix.cosine(index, ix.asked_terms(questions, "q", F.col("text")), 2, 0.03).collect()
+    for q in range(3):
+        best = sorted(((-s, i) for (a, i), s in got.items() if a == q))[:2]
+        assert {i for _, i in best} <= {r.doc_id for r in top if r.query_id == q}
+
+
+def test_vector_scores(spark):
+    v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.5, 0.5, 9.0]), (3, None), (4, [None, 1.0]), (5, [])], "k int, e array<double>")
+    q = v.select(F.col("k").alias("query_id"), "e").where("k in (1, 3)")
+    got = {(r.query_id, r.k): r.score for r in vx.scores(v, q, "k", "e").collect()}
+    assert got == {(1, 2): 0.5, (1, 4): 0.0, (1, 5): 0.0}
+    assert [r.k for r in vx.nearest(v, q, "k", "e", 1).collect()] == [2]
+
+
+def test_passages(spark):
+    docs = spark.createDataFrame([(1, "one two three four"), (2, "xone two threes"), (3, "two"), (4, None)], "doc_id int, text string")
+    index = ix.build(docs, "doc_id", F.col("text"))
+    p = spark.createDataFrame([(1, "one two three"), (2, "two"), (3, "absent words here"), (4, "One two three")], "query_id int, passage string")
+    got = sorted(tuple(r) for r in ix.holding(index, docs, p).select("query_id", "doc_id").collect())
+    assert got == [(1, 1), (1, 2), (2, 1), (2, 2), (2, 3)]
 
 
 def test_embedding_has_unit_length(spark):
@@ -105,6 +158,10 @@ def test_percentiles(spark):
     df = spark.createDataFrame([("a", float(i)) for i in range(1, 12)], "g string, v double")
     assert df.agg(ev.nearest_rank("v", 0.95).alias("p")).first().p == 11.0
     assert ev.floor_rank(df, "g", "v", 0.95, "p").first().p == 10.0
+    many = spark.createDataFrame([(g, float((i * 7919) % 1009 // 3)) for g in "ab" for i in range(1009)], "g string, v double")
+    for p in (0.0, 0.005, 0.5, 0.95, 0.999, 1.0):
+        want = sorted((i * 7919) % 1009 // 3 for i in range(1009))[int(p * 1008)]
+        assert {r.p for r in ev.floor_rank(many, "g", "v", p, "p").collect()} == {float(want)}
 
 
 def test_filters(spark):
