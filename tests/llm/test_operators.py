@@ -616,3 +616,43 @@ def test_chat_awkward(spark):
     assert len(got) == 7 and chat.parse(by[0].formatted) == chat.parse(by[1].formatted) == [("user", "q"), ("assistant", "a")]
     assert chat.parse(by[2].formatted)[1][1] == long and by[5].formatted is None and by[6].formatted is None and by[None].formatted == ""
     assert chat.format_records(df.where("false"), "id").count() == 0
+
+
+def test_vector_queries(spark, tmp_path):
+    """What op2 and op7 return, by their contracts and against brute force."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(600, 12)).astype(np.float32)
+    x[300:400] = x[:100] + 0.01 * rng.normal(size=(100, 12)).astype(np.float32)
+    rows = [(i, [float(v) for v in x[i]], i % 3) for i in range(600)] + [(650, None, 1), (700, [0.0] * 12, 1)]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    u = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    near = ann.op2_rp_forest(spark, str(tmp_path))
+    assert near.dtypes == [("query_id", "bigint"), ("rank", "int"), ("vec_id", "bigint"), ("score", "double")]
+    hits = collections.defaultdict(set)
+    for r in near.collect():
+        hits[r.query_id].add(r.vec_id)
+        assert r.query_id != r.vec_id and math.isclose(r.score, u[r.query_id] @ u[r.vec_id], abs_tol=1e-12)
+    assert set(hits) == set(range(0, 600, 50))
+    best = {q: set(np.argsort(-np.where(np.arange(600) == q, -2, u @ u[q]))[:5].tolist()) for q in hits}
+    assert sum(len(best[q] & hits[q]) for q in hits) >= 0.9 * 5 * len(hits)
+    links = vector_dedup.op7_pivot_permutation(spark, str(tmp_path))
+    assert links.dtypes == [("vec_id", "bigint"), ("n_links", "bigint"), ("component_id", "bigint"), ("kept", "boolean")]
+    label = np.arange(600) % 3
+    want = ((u @ u.T >= 0.98) & (label[:, None] == label)).sum(1) - 1
+    got = {r.vec_id: r for r in links.collect()}
+    assert len(got) == 602 and all(got[i].n_links <= want[i] for i in range(600)) and sum(got[i].n_links for i in range(600)) >= 0.9 * want.sum() > 0
+
+
+def test_mix_license_and_chat_queries(spark, tmp_path):
+    """Columns and kinds that the contracts name, on tables with awkward rows."""
+    awkward(spark).write.parquet(f"{tmp_path}/documents.parquet")
+    said = [(1, 0, "human", "q", "x"), (1, 1, "gpt", "a</s>", "x"), (None, 0, None, None, "x"), (1, 1, "gpt", "a</s>", "x")]
+    spark.createDataFrame(said, "conv_id bigint, turn bigint, role string, text string, record string").write.parquet(f"{tmp_path}/conversations.parquet")
+    mix = mixing.op4_pareto_mix(spark, str(tmp_path))
+    assert mix.dtypes == [("doc_id", "bigint"), ("size", "bigint"), ("source_size", "bigint"), ("target", "double"), ("taken", "bigint")] and mix.count() == 8
+    found = licenses.op8_license_join(spark, str(tmp_path))
+    assert found.dtypes == [("doc_id", "bigint"), ("n_words", "bigint"), ("n_base", "bigint"), ("first_word", "bigint"), ("last_word", "bigint"), ("base_labels", "string"), ("labels", "string"), ("score", "double")] and found.count() == 8
+    turns = {r.conv_id: r for r in chat.op9_chat_format(spark, str(tmp_path)).collect()}
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    assert (turns[1].n_turns, turns[1].turns_sha256, turns[1].loss_chars, turns[1].loss_sha256) == (3, sha("user\nq\n" + "assistant\na</s>\n" * 2), 10, sha("a</s>" * 2))
+    assert turns[-1].turns_sha256 == sha("user\n</s>[INST] ok [/INST]\nassistant\n</s>[INST] ok [/INST]\n") and turns[None].loss_chars == 0
