@@ -456,9 +456,10 @@ def test_kneser_ney_by_definition(spark):
     n, before = [collections.Counter(), collections.Counter()], collections.defaultdict(set)
     for text, toxic in texts:
         t = " " + " ".join((text or "").lower().split()) + " "
-        own = {(i, t[i : i + 5]) for i in range(len(t) - 4)} | {(i, t[i : i + 2]) for i in range(len(t) - 1) if min(map(ord, t[i : i + 2])) >= 0x1100}
-        n[toxic].update({e for _, e in own} if text else ())
-        for i, e in own if text else ():
+        own = [(i, t[i : i + 5]) for i in range(len(t) - 4)] + [(i, t[i : i + 2]) for i in range(len(t) - 1) if min(map(ord, t[i : i + 2])) >= 0x1100]
+        first = {e: i for i, e in reversed(own)} if text else {}
+        n[toxic].update(set(first))
+        for e, i in first.items():
             before[e].add(t[max(i - 1, 0)])
     total = [sum(x.values()) for x in n]
     d = [toxicity.DISCOUNT * t / min(total) for t in total]
