@@ -12,7 +12,7 @@ is the hash of a whole class, so texts that are not near copies hardly ever meet
 
 ``prefix``: the key is one of a set's rarest shingles, as many as the threshold
 leaves out, and one more. Fewer keys at low thresholds, but texts that share rare
-shingles by chance meet; this suits long shingles. The order of rarity comes from
+shingles meet, in numbers that grow faster than the texts. The order of rarity comes from
 a count sketch over all documents (``SLOTS`` counters, so its broadcast has a fixed
 size); any order gives the same result.
 
@@ -358,7 +358,7 @@ def _tiles(num: int, den: int, width: int) -> Callable:
     return run
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, num: int = 80, den: int = 100, keys: str = "prefix") -> DataFrame:
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, num: int = 80, den: int = 100, keys: str = "subsets") -> DataFrame:
     """One row per row of ``docs``: id, n_shingles, component_id (smallest id reachable by links).
 
     Two documents link when ``den * intersection >= num * union`` of their sets
@@ -513,7 +513,7 @@ def _linked(src: DataFrame, words: int, num: int, den: int, keys: str) -> DataFr
     return out
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, num: int = 80, den: int = 100, keys: str = "prefix") -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, num: int = 80, den: int = 100, keys: str = "subsets") -> DataFrame:
     """The rows of ``docs``, of each component only one: that of the smallest id, a null id last, then of the smallest
     text hash.
 
