@@ -17,7 +17,7 @@ from ..operators import search as se
 from ..sources import corpus as co
 from .base import BM25, VECTORS, query, read
 from .corpus import LINES
-from .retrieval import METRICS_SQL, OVERLAP, TRUTH, coded, index_of, lexical_list, metrics_of, truth_of
+from .retrieval import METRICS_SQL, OVERLAP, TAX, TRUTH, coded, index_of, lexical_list, metrics_of, truth_of
 
 #: Settings of the queries over modes; the fusion takes thirty of each list.
 MODES = {
@@ -146,9 +146,9 @@ def filter_accuracy(spark, d):
     return top.groupBy("query_id").agg(F.bool_and(ok).alias("filter_ok"))
 
 
-@query()
+@query(TAX + ", e AS (SELECT query_id, unnest(string_split(failures, ',')) AS code FROM f) SELECT code, count(*)::BIGINT AS n, min(query_id) AS sample FROM e WHERE code <> '' GROUP BY 1")
 def failure_samples(spark, d):
-    """How often each failure code comes, and its first query (rows only; the codes themselves have SQL)."""
+    """How often each failure code comes, and its first query."""
     return ev.samples(coded(spark, d), "query_id")
 
 
