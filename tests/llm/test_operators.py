@@ -67,7 +67,7 @@ def brute_components(rows, words, num, den):
     return {i: (len(sets[i]), top(i)) for i in sets}
 
 
-@pytest.mark.parametrize(("words", "num", "keys"), [(3, 90, "subsets"), (5, 80, "prefix"), (2, 60, "prefix"), (2, 80, "subsets"), (2, 60, "subsets")])
+@pytest.mark.parametrize(("words", "num", "keys"), [(3, 90, "subsets"), (5, 80, "subsets"), (2, 60, "prefix")])
 def test_jaccard_components(spark, monkeypatch, words, num, keys):
     monkeypatch.setattr(ngram_join, "BLOCK", 8)
     monkeypatch.setattr(ngram_join, "WIDTH", 1)
@@ -513,7 +513,7 @@ def test_reruns_agree(spark):
     """Repeated ids with different texts, and equal rows, however the rows are dealt out."""
     rows = [(i % 9, " ".join(["w"] * (i % 13)) if i % 5 else None, None, "ab"[i % 2]) for i in range(200)]
     runs = set()
-    for n in (1, 3, 7):
+    for n in (1, 5):
         df = frame(spark, rows).repartition(n)
         mixed = mixing.mix_sources(df).collect()
         runs.add((str(sorted(map(str, mixed))), str(sorted(map(str, mixing.mixed_rows(df).collect()))), str(sorted(map(str, packing.pack_buckets(df, buckets=3, budget=40).collect()))), str(sorted(map(str, sharding.external_shuffle(df, shards=3, bucket_bytes=512).select("doc_id", "text", "shard", "slot").collect())))))
