@@ -3,6 +3,7 @@ batches, word hashing, and connected components of an edge table."""
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 from collections.abc import Callable, Iterator
@@ -53,6 +54,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def swept(spark: SparkSession) -> None:
+    """Have Spark remove the shuffle files and checkpoints that no table holds any more. It does so when the driver
+    collects garbage, which many small rounds over large tables do not bring about."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 #: Bytes up to which a table is broadcast.
 BROADCAST_BYTES = 32 << 20
 

@@ -6,15 +6,18 @@ meet in one; there are two kinds of tile keys.
 
 ``subsets``: in a band whose pairs differ by at most d shingles, the shingles are
 dealt to d + 1 + spare classes by their hash. Two sets that differ by d or less
-have spare + 1 classes alike, of which one is not empty, unless a set has more
-than ``spare`` empty classes; then it enters the tiles of its empty ones too. A key
-is the hash of a whole class, so texts that are not near copies hardly ever meet.
+have spare + 1 classes alike, so each may leave out its ``spare`` most common ones:
+a set enters the tiles of its d + 1 rarest classes. A class is the rarer, the more
+shingles it has and the rarer they are (by whole numbers, so that equal classes
+rank alike); empty ones come last. A key is the hash of a whole class, so texts
+that are not near copies hardly ever meet, even if they share lines or phrases.
 
 ``prefix``: the key is one of a set's rarest shingles, as many as the threshold
 leaves out, and one more. Fewer keys at low thresholds, but texts that share rare
-shingles meet, in numbers that grow faster than the texts. The order of rarity comes from
-a count sketch over all documents (``SLOTS`` counters, so its broadcast has a fixed
-size); any order gives the same result.
+shingles meet, in numbers that grow faster than the texts.
+
+The order of rarity comes from a count sketch over all documents (``SLOTS`` counters,
+so its broadcast has a fixed size); any order gives the same result.
 
 Keys are dealt by ranges of (key, node), so a key that a third of all sets has is
 spread over tasks, and only keys that two nodes share go on. Inside the tiles a
@@ -23,13 +26,15 @@ differ are no more than the shingles that differ); what passes is decided by
 intersecting the sorted shingle arrays.
 
 A tile's nodes are first compared with the tile's smallest and largest node, and
-joined into components. Nodes of tiles that still hold several components meet
-their closest partner in a few of their tiles, in blocks of at most ``BLOCK`` rows
-a side; then those outside a tile's largest component meet all others of the
+joined into components. In tiles of more than ``FEW`` nodes that still hold several
+components, nodes meet their closest partner in a few of their tiles, in blocks of at
+most ``BLOCK`` rows a side. Then smaller tiles list their pairs of different
+components, without bitmaps, and each pair is compared once, however many tiles it
+shares; in larger ones those outside a tile's largest component meet all others of the
 tile, closest ones first, more of them in each round, until no pair that passes
 the bound is left between two components. This keeps a group of thousands of near
 copies linear and is still exact: two nodes of a tile are either compared or
-already connected.
+already connected. No pair is verified twice.
 """
 
 from __future__ import annotations
@@ -41,13 +46,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NOT_SPACE, WordHashes, components, cut, fresh, grouped, lists, long_batches, map_batches, mix, small, table, written
+from .common import NOT_SPACE, WordHashes, components, cut, fresh, grouped, lists, long_batches, map_batches, mix, small, swept, table, written
 
 SLOTS = 1 << 20
 #: Bits of the filter that picks texts to shingle again: so many an id, at most FILTER_BITS (64 MB). A denser filter
 #: lets more texts through, which the join on the node then drops.
 BITS_AN_ID, FILTER_BITS = 16, 1 << 29
 BLOCK = 1024
+#: Nodes of a tile up to which it lists its pairs; classes left out, as a share of the shingles that a pair may differ by.
+FEW, LEFT_OUT = 64, 0.3
 SEEN = 500_000
 #: Rounds, and tiles of a node in each, of the closest-partner step; then partners of a node in a tile's first full round.
 TURNS, KEYS_A_TURN, WIDTH = 2, 3, 2
@@ -128,7 +135,7 @@ class Classes:
         apart = (top + top * self.den // self.num) * (self.den - self.num) // (self.den + self.num)
         if not apart:
             return 0, 0
-        for spare in range(apart + 2):  # until a set hardly ever has more empty classes
+        for spare in range(int(LEFT_OUT * apart), 3 * apart + 2):  # until a set hardly ever has more empty classes
             k = apart + 1 + spare
             empty = k * (1 - 1 / k) ** low
             if spare >= empty + 4 * empty**0.5:
@@ -139,27 +146,37 @@ class Classes:
         """Bands where a set of n may meet a partner: those of n and of all smaller partners."""
         while self.tops[-1] < n:
             low = self.tops[-1] + 1
-            self.tops.append(max(low, self.tops[-1] * self.den**3 // self.num**3))
+            self.tops.append(max(low, self.tops[-1] * self.den**2 // self.num**2))
             self.classes.append(self._classes(low, self.tops[-1]))
         return range(int(np.searchsorted(self.tops, -(-self.num * n // self.den))), int(np.searchsorted(self.tops, n)) + 1)
 
-    def keys(self, s: np.ndarray) -> np.ndarray:
-        """Tile keys of a set."""
+    def keys(self, s: np.ndarray, rarity: np.ndarray | None = None) -> np.ndarray:
+        """Tile keys of a set; rarity: whole numbers from 1, by slot (none: all alike)."""
         out = [np.empty(0, np.uint64)]
+        worth = np.ones(len(s)) if rarity is None else rarity[(s >> np.uint64(44)).astype(np.int64)]
+        hashed = mix(s + _ODD[3])
         for band in self.of(len(s)):
             k, spare = self.classes[band]
             if not k:
                 continue
             own = (s % np.uint64(k)).astype(np.int64)
-            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(s + _ODD[3])[np.argsort(own, kind="stable")], dtype=np.uint64)])
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashed[np.argsort(own, kind="stable")], dtype=np.uint64)])
             size = np.bincount(own, minlength=k)
             upto = np.cumsum(size)
             place = np.arange(k, dtype=np.uint64)
             key = mix(sums[upto] - sums[upto - size] + size.astype(np.uint64) * _ODD[0] + place * _ODD[1] + np.uint64((band + 1) * int(_ODD[2]) % 2**64))
-            out.append(key if (size == 0).sum() > spare else key[size > 0])
+            out.append(key[np.lexsort((key, -np.bincount(own, weights=worth, minlength=k)))[: k - spare]])
         return np.concatenate(out)
 
 
+def rarities(counts: np.ndarray) -> np.ndarray:
+    """Eighths of a bit by which the shingles of each slot are rarer than the most frequent ones, and 1."""
+    if not counts.any():
+        return np.ones(len(counts), np.int16)
+    seen = np.maximum(counts, counts[counts > 0].min())
+    return (1 + np.round(8 * np.log2(seen.max() / seen))).astype(np.int16)
+
+
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list]]:
     for batch in batches:
         if batch.num_rows:
@@ -186,11 +203,12 @@ def _sketch(words: int) -> Callable:
     return run
 
 
-def _profiles(words: int, num: int, den: int, sketch) -> Callable:
-    """Each text's node and size; for a node not seen in this task, its bitmap and keys too. sketch: for prefix keys."""
+def _profiles(words: int, num: int, den: int, keyed: str, sketch) -> Callable:
+    """Each text's node and size; for a node not seen in this task, its bitmap and keys too. sketch: counts or rarities
+    by slot."""
 
     def run(batches):
-        heavy = sketch.value if sketch else None
+        heavy = sketch.value
         hashes, seen, classes = WordHashes(NOT_SPACE), set(), Classes(num, den)
         for batch, texts in _texts(batches):
             nodes, sizes, maps, keys = [], [], [], []
@@ -207,8 +225,8 @@ def _profiles(words: int, num: int, den: int, sketch) -> Callable:
                 if len(seen) >= SEEN:
                     seen.clear()
                 seen.add(node)
-                if heavy is None:
-                    own = classes.keys(s)
+                if keyed == "subsets":
+                    own = classes.keys(s, heavy)
                 else:
                     freq = heavy[(s >> np.uint64(44)).astype(np.int64)]
                     p = prefix_size(n, num, den)
@@ -318,6 +336,38 @@ def _exact(num: int, den: int) -> Callable:
     return run
 
 
+def _listed(num: int, den: int) -> Callable:
+    """Pairs of (key, node, root, n) sorted by key: those of one key with different roots whose sizes allow a link."""
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = np.stack([batch.column(i).to_numpy() for i in range(4)])
+            rows = rows if held is None else np.concatenate([held, rows], axis=1)
+            last = int(np.searchsorted(rows[0], rows[0, -1]))  # the last key may go on in the next batch
+            held = rows[:, last:]
+            yield from pairs(rows[:, :last])
+        if held is not None:
+            yield from pairs(held)
+
+    def pairs(rows):
+        key, node, root, n = rows
+        found = [np.empty((2, 0), np.int64)]
+        for step in range(1, len(key)):
+            at = np.flatnonzero(key[step:] == key[:-step])
+            if not len(at):
+                break
+            at = at[(root[at] != root[at + step]) & (den * n[at] >= num * n[at + step]) & (den * n[at + step] >= num * n[at])]
+            found.append(np.sort(np.stack([node[at], node[at + step]]), axis=0))
+        a, b = np.unique(np.concatenate(found, axis=1), axis=1)
+        if len(a):
+            yield pa.record_batch([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    return run
+
+
 def _tiles(num: int, den: int, width: int) -> Callable:
     """Pairs of different components inside each (key, block, chunk) tile that the bounds leave: for each row asked
     the ``width`` with the fewest differing bits. more: some that the bounds leave were left out."""
@@ -383,14 +433,12 @@ def _linked(src: DataFrame, words: int, num: int, den: int, keys: str) -> DataFr
     src = src.select("id", "text", F.xxhash64("text").alias("mark"))
     id_kind = src.schema["id"].dataType.simpleString()
 
-    sketch = None
-    if keys == "prefix":
-        counted = map_batches(src, _sketch(words), "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow().to_pandas()
-        heavy = np.zeros(SLOTS, np.int64)
-        heavy[counted["slot"].to_numpy(np.int64)] = counted["n"].to_numpy(np.int64)
-        sketch = spark.sparkContext.broadcast(np.minimum(heavy, 2**31 - 1).astype(np.int32))
+    counted = map_batches(src, _sketch(words), "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow().to_pandas()
+    heavy = np.zeros(SLOTS, np.int64)
+    heavy[counted["slot"].to_numpy(np.int64)] = counted["n"].to_numpy(np.int64)
+    sketch = spark.sparkContext.broadcast(rarities(heavy) if keys == "subsets" else np.minimum(heavy, 2**31 - 1).astype(np.int32))
 
-    profile = map_batches(src, _profiles(words, num, den, sketch), f"id {id_kind}, mark bigint, node bigint, n bigint, bits binary, keys array<bigint>")
+    profile = map_batches(src, _profiles(words, num, den, keys, sketch), f"id {id_kind}, mark bigint, node bigint, n bigint, bits binary, keys array<bigint>")
     profile, remove = written(profile, "shingles")
     member = profile.select("id", "mark", "node", "n")
 
@@ -439,24 +487,29 @@ def _linked(src: DataFrame, words: int, num: int, den: int, keys: str) -> DataFr
         both = pairs.join(x, "a", "left").join(y, "b", "left")
         return both.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
 
-    links = None
+    links = tested = None
 
     def grown(roots: DataFrame | None, pairs: DataFrame) -> DataFrame:
         """Roots once the pairs that link are joined."""
-        nonlocal links
+        nonlocal links, tested
+        tested = pairs if tested is None else tested.unionAll(pairs)
         more = verified(pairs)
+        swept(spark)
         if roots is not None and more.isEmpty():
             return roots
         links = more if links is None else links.unionAll(more)
         return cut(components(links))
 
+    def untested(pairs: DataFrame) -> DataFrame:
+        return cut(pairs.join(tested, ["a", "b"], "left_anti"))
+
     first = held.select(F.col("lo").alias("a"), F.col("node").alias("b")).unionAll(
         held.where("node <> hi").select(F.col("node").alias("a"), F.col("hi").alias("b"))
     )
     first = cut(bounded(first.distinct()))
     # One partner for each node first: it connects most, so that few pairs are left to intersect.
-    roots = grown(None, first.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
-    rest = cut(apart(first, roots))
+    roots = grown(None, cut(first.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")))
+    rest = untested(apart(first, roots))
     if not rest.isEmpty():
         roots = grown(roots, rest)
 
@@ -467,9 +520,14 @@ def _linked(src: DataFrame, words: int, num: int, den: int, keys: str) -> DataFr
     spot = lambda k: F.pmod(F.xxhash64("node"), F.col(k)).cast("int")
     every = lambda k: F.sequence(F.lit(0), F.col(k) - 1)
 
+    sizes = many.groupBy("key").count()
+    large = many.join(sizes.where(f"count > {FEW}"), "key", "left_semi")
+    large, many = cut(large), cut(many.join(sizes.where(f"count <= {FEW}"), "key", "left_semi"))
+    swept(spark)
+
     def still_open(roots: DataFrame) -> DataFrame:
-        """Members of tiles that hold several components, with the tile's largest one and its block counts."""
-        own = many.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        """Members of large tiles that hold several components, with the tile's largest one and its block counts."""
+        own = large.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         shares = own.groupBy("key", "root").agg(F.count("*").alias("c"))
         open_keys = shares.groupBy("key").agg(F.sum("c").alias("m"), F.max_by("root", F.struct("c", "root")).alias("big"), F.max("c").alias("c"), F.count("*").alias("k")).where("k > 1")
         open_keys = open_keys.select("key", "big", F.ceil(F.col("m") / BLOCK).cast("int").alias("nb"), F.ceil((F.col("m") - F.col("c")) / BLOCK).cast("int").alias("nc"))
@@ -484,24 +542,31 @@ def _linked(src: DataFrame, words: int, num: int, den: int, keys: str) -> DataFr
         few = F.row_number().over(Window.partitionBy("node").orderBy(F.xxhash64("key", F.lit(turn)))) <= KEYS_A_TURN
         some = still_open(roots).withColumn("few", few).where("few").join(sig, "node")
         found = met(some.select(*cols, spot("nb").alias("block"), F.lit(0).alias("chunk"), F.lit(0).alias("probe")), 1)
+        found = untested(found.select("a", "b"))
         if found.isEmpty():
             break
-        roots = grown(roots, found.select("a", "b"))
+        roots = grown(roots, found)
+
+    # Small tiles: every pair of different components, once.
+    own = many.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(sig.select("node", "n"), "node")
+    own = own.select("key", "node", "root", "n").repartition(F.col("key")).sortWithinPartitions("key")
+    with long_batches(spark):
+        listed = cut(map_batches(own, _listed(num, den), "a bigint, b bigint").distinct())
+    found = cut(bounded(untested(listed)))
+    if not found.isEmpty():
+        roots = grown(roots, found)
 
     # What is still apart is compared in full, closest partners first.
-    tested, width, left = None, WIDTH, True
+    width, left = WIDTH, True
     while left:
         todo = still_open(roots).join(sig, "node")
         base = todo.select(*cols, spot("nb").alias("block"), F.explode(every("nc")).alias("chunk"), F.lit(0).alias("probe"))
         probe = todo.where("root <> big").select(*cols, F.explode(every("nb")).alias("block"), spot("nc").alias("chunk"), F.lit(1).alias("probe"))
         found = met(base.unionAll(probe), width)
         left = not found.where("more").isEmpty()
-        new = found.select("a", "b")
-        if tested is not None:
-            new = cut(new.join(tested, ["a", "b"], "left_anti"))
+        new = untested(found.select("a", "b"))
         if not new.isEmpty():
             roots = grown(roots, new)
-            tested = new if tested is None else tested.unionAll(new)
         width *= 32
 
     smallest = member.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("id"))

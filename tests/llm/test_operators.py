@@ -9,6 +9,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -140,6 +141,33 @@ def test_partners_share_a_class(num, den):
                 assert np.intersect1d(classes.keys(np.unique(a)), classes.keys(np.unique(b))).size, (n, gone, new)
 
 
+def test_common_passages_share_no_class():
+    """Texts that share a frequent passage, a third of each, do not meet; near copies do."""
+    rng = np.random.default_rng(9)
+    classes, common = ngram_join.Classes(80, 100), rng.integers(0, 2**63, 150, dtype=np.uint64)
+    counts = np.zeros(ngram_join.SLOTS, np.int64)
+    counts[rng.integers(0, ngram_join.SLOTS, 1000)] = 10
+    counts[(common >> np.uint64(44)).astype(np.int64)] = 5000
+    rarity = ngram_join.rarities(counts)
+    own = [np.unique(np.concatenate([common, rng.integers(0, 2**63, 300, dtype=np.uint64)])) for _ in range(60)]
+    keys = np.concatenate([np.unique(classes.keys(s, rarity)) for s in own])
+    assert len(np.unique(keys)) == len(keys)
+    for s in own:
+        copy = np.unique(np.concatenate([rng.choice(s, 405, replace=False), rng.integers(0, 2**63, 45, dtype=np.uint64)]))
+        assert np.intersect1d(classes.keys(s, rarity), classes.keys(copy, rarity)).size
+
+
+def test_listed_pairs():
+    """Pairs of a key, over the bounds of batches, with different roots and sizes that can link."""
+    rng = np.random.default_rng(10)
+    rows = np.stack([np.sort(rng.integers(0, 12, 90)), np.arange(90), rng.integers(0, 30, 90), rng.integers(8, 14, 90)])
+    want = {tuple(sorted((int(rows[1, i]), int(rows[1, j])))) for i in range(90) for j in range(i) if rows[0, i] == rows[0, j] and rows[2, i] != rows[2, j] and 10 * rows[3, [i, j]].min() >= 8 * rows[3, [i, j]].max()}
+    for size in (7, 90):
+        batches = [pa.record_batch([pa.array(x) for x in rows[:, i : i + size]], names=["key", "node", "root", "n"]) for i in range(0, 90, size)]
+        got = [p for b in ngram_join._listed(80, 100)(iter(batches)) for p in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+        assert set(got) == want and len(got) == len(want)
+
+
 @given(st.lists(st.text(alphabet="ab \té", max_size=12), max_size=6))
 @settings(max_examples=100, deadline=None)
 def test_word_hashes(parts):
