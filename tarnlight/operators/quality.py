@@ -78,12 +78,16 @@ def corpus_digest(docs: DataFrame, key: str, content: Column) -> DataFrame:
 def audit_corpus(parsed: DataFrame, public: Column) -> DataFrame:
     """(slug, field, problem) of a corpus, in a stable order: documents that cannot be parsed, and of public ones the
     fields and relations that break the contract. ``parsed`` is what the corpus reader gives."""
+    from ..sources.workspace import cut
     from .graph import audit_edges, relation_edges
 
+    # Parsed once: the parts below, and filters moved into them, would each parse all files again.
+    names = ("type", "status", "evidenceLevel", "verifiedAt", "canonicalFor", "supersededBy")
+    parsed = cut(parsed.select("slug", "parse_error", "relations", public.alias("_public"), violations({c: F.col(c) for c in names}).alias("_broken")))
     unread = parsed.where("parse_error IS NOT NULL").select("slug", F.lit("frontmatter").alias("field"), F.col("parse_error").alias("problem"))
-    read = parsed.where("parse_error IS NULL").withColumn("_public", public)
+    read = parsed.where("parse_error IS NULL")
     shown = read.where("_public")
-    broken = shown.select("slug", F.explode(violations({c: F.col(c) for c in ("type", "status", "evidenceLevel", "verifiedAt", "canonicalFor", "supersededBy")})).alias("field"))
+    broken = shown.select("slug", F.explode("_broken").alias("field"))
     edges = audit_edges(relation_edges(shown, "slug", "relations"), read.select("slug", F.col("_public").alias("public")))
     rows = unread.unionAll(broken.select("slug", "field", F.lit("not allowed").alias("problem")))
     rows = rows.unionAll(edges.select(F.col("src").alias("slug"), F.lit("relations").alias("field"), "problem"))

@@ -295,6 +295,8 @@ def legacy_chunks(spark, d):
 # Files as the corpus reader gives them, made of customers; every eleventh lacks its frontmatter.
 def files_of(spark, d) -> DataFrame:
     c = read(spark, d, "customer")
+    if c.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism:
+        c = c.repartition(spark.sparkContext.defaultParallelism)  # one file is one split, and parsing is what costs
     k = F.col("c_custkey")
     status = F.when(k % 7 == 0, "archived").when(k % 5 == 0, "superseded").when(k % 3 == 0, "verified").otherwise("partial")
     head = F.concat_ws(
